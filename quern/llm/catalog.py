@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import leakage, neardup, packing, pieces
+from quern.llm import leakage, neardup, packing, pieces, similar
 from quern.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,23 @@ def p3_pieces(s, d):
     return _pieces(s, d, True)
 
 
+# ---- 5: similar vectors
+
+
+def _similar(s, d) -> similar.Neighbours:
+    return similar.Neighbours(table(s, d, "vec_code").select("chunk_id", "embedding"), "chunk_id", "embedding", 384, 5)
+
+
+@query()
+def p5_found(s, d):
+    return _similar(s, d).pairs()
+
+
+@query()
+def p5_neighbours(s, d):
+    return _similar(s, d).lists()
+
+
 # ---- 7: packing
 
 
