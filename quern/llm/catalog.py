@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import leakage, neardup, packing, pieces, similar
+from quern.llm import leakage, neardup, packing, pieces, similar, truncation
 from quern.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,20 @@ def p8_spans(s, d):
 )
 def p8_items(s, d):
     return p8_found(s, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+# ---- 9: truncation
+
+
+def _judged(s, d):
+    return truncation.judged(table(s, d, "documents").select("doc_id", "text", "source"))
+
+
+@query()
+def p9_found(s, d):
+    return _judged(s, d).where("posterior >= 0.5").select("doc_id").distinct()
+
+
+@query()
+def p9_sources(s, d):
+    return truncation.by_source(_judged(s, d))
