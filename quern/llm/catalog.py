@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import leakage, neardup, packing, pieces, similar, truncation
+from quern.llm import leakage, neardup, packing, pieces, provenance, similar, truncation
 from quern.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,23 @@ def query(sql: str | None = None):
     return wrap
 
 
+# ---- 1: generated, minified, vendored, blobs
+
+
+def _labelled(s, d):
+    return provenance.labelled(table(s, d, "code_chunks").select("file_path", "code_text"))
+
+
+@query()
+def p1_found(s, d):
+    return _labelled(s, d).where("handwritten < 0.5").select("file_path").distinct()
+
+
+@query()
+def p1_labels(s, d):
+    return _labelled(s, d)
+
+
 # ---- 2: near-duplicates
 
 
