@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.sources import registry as R
 
 
+def _open(root: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else "file://" + root)
+
+
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """Files below root as (input_root, rel_path, path, mtime, length, kind,
-    language[, content]); other files are left out.  Without content only the
-    listing is read (binaryFile prunes the column)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", "^file:/*", "/")
+    language[, content]); other files are left out.
+
+    Spark's own file sources skip names with a leading dot or underscore, which
+    belong to a source tree, so the listing is done here: the entries of the
+    root on the driver, each of its folders by a task.  Contents are read by
+    tasks, a row per file; without `content` no file is opened."""
+    from pyarrow import fs
+
     base = root.rstrip("/")
-    rows = df.select(
-        F.lit(base).alias("input_root"), F.expr(f"substring({'regexp_replace(path, \"^file:/*\", \"/\")'}, {len(base.removeprefix('file://')) + 2})").alias("rel_path"), plain.alias("path"),
-        F.unix_micros("modificationTime").cast("double").alias("_us"), "length", *(["content"] if content else []),
-    )
-    return rows.withColumn("mtime", F.col("_us") / 1e6).drop("_us").withColumn("kind", R.kind(F.col("path"))).withColumn("language", R.language(F.col("path"))).where("kind is not null")
+    system, top = _open(base)
+    entries = system.get_file_info(fs.FileSelector(top))
+    pairs = [(e.path, e.type == fs.FileType.Directory) for e in entries]
+
+    def listed(batches):
+        system, top = _open(base)
+        for pdf in batches:
+            out = []
+            for p, folder in zip(pdf["path"], pdf["folder"]):
+                infos = system.get_file_info(fs.FileSelector(p, recursive=True)) if folder else [system.get_file_info(p)]
+                out += [(i.path[len(top) :].lstrip("/"), i.path, i.mtime_ns / 1e9, i.size) for i in infos if i.type == fs.FileType.File]
+            yield pd.DataFrame(out, columns=["rel_path", "path", "mtime", "length"])
+
+    n = max(1, min(len(pairs), spark.sparkContext.defaultParallelism * 4))
+    rows = spark.createDataFrame(pairs, "path string, folder boolean").repartition(n).mapInPandas(listed, "rel_path string, path string, mtime double, length bigint")
+    rows = rows.select(F.lit(base).alias("input_root"), "*", R.kind(F.col("path")).alias("kind"), R.language(F.col("path")).alias("language")).where("kind is not null")
+    if not content:
+        return rows
+
+    def read(batches):
+        system, _ = _open(base)
+        for pdf in batches:
+            for at in range(len(pdf)):  # one file in memory at a time
+                one = pdf.iloc[at : at + 1].copy()
+                with system.open_input_stream(one["path"].iloc[0]) as f:
+                    one["content"] = [f.read()]
+                yield one
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition("path").mapInPandas(read, schema + ", content binary")
 
 
 def manifest(files: DataFrame) -> DataFrame:
