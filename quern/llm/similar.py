@@ -34,14 +34,16 @@ from quern.session import written
 
 SAMPLE, PART, LIST = 8192, 8192, 128
 BOOKS, BEAM = 5, 4
-PROBES, MARGIN = 4, 0.02  # cells within the margin of the best are probed
+PROBES, MARGIN = 4, 0.02  # cells within the margin of the best are probed,
+ENOUGH = 48  # and further ones until so many vectors are expected in them
+SMALL = 1024  # up to so many vectors one cell holds all: the search is exact
 
 _made: dict[int, Quantiser] = {}
 
 
 def cells_for(n: int) -> int:
     """About the square root of the collection, a power of two up to 16384."""
-    return int(min(16384, max(4, 2 ** round(np.log2(max(1.0, n) ** 0.5)))))
+    return 1 if n <= SMALL else int(min(16384, max(4, 2 ** round(np.log2(max(1.0, n) ** 0.5)))))
 
 
 def usable(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +67,13 @@ def hashes(x: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(v) for v in np.ascontiguousarray(x)], dtype=np.uint64).view(np.int64)
 
 
-def scores(x: np.ndarray, coarse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scores(x: np.ndarray, coarse: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cells, use): up to PROBES nearest cells and which of them are probed."""
     p = nearest(x, coarse, PROBES)
     half = 0.5 * (coarse * coarse).sum(axis=1)
     s = np.einsum("nd,npd->np", x, coarse[p]) - half[p]
-    return p, s >= s[:, :1] - MARGIN
+    before = np.cumsum(sizes[p], axis=1) - sizes[p]
+    return p, (s >= s[:, :1] - MARGIN) | (before < ENOUGH)
 
 
 class Layout:
@@ -176,7 +179,7 @@ class Neighbours:
         quant = Quantiser.train(x, min(cells_for(n), max(1, len(x) // 2)), BOOKS, rounds=6, seed=seed)
         sizes = np.bincount(nearest(x, quant.coarse)[:, 0], minlength=quant.cells) * (n / len(x))
         plan = Layout(quant.coarse, sizes, part)
-        sent = spark.sparkContext.broadcast((quant.c, quant.cells, quant.books, plan.first, plan.blocks))  # bounded by the parameters
+        sent = spark.sparkContext.broadcast((quant.c, quant.cells, quant.books, plan.first, plan.blocks, sizes))  # bounded by the parameters
         key = id(sent)
 
         def made() -> Quantiser:
@@ -186,7 +189,7 @@ class Neighbours:
             return _made[key]
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            quant, (first, blocks) = made(), sent.value[3:]
+            quant, (first, blocks, sizes) = made(), sent.value[3:]
             seen: set[int] = set()
             for b in batches:
                 _, x = usable(b, dim)
@@ -195,7 +198,7 @@ class Neighbours:
                 x, h = x[new], h[new]
                 if not len(x):
                     continue
-                cells, use = scores(x, quant.coarse)
+                cells, use = scores(x, quant.coarse, sizes)
                 own = first[cells[:, 0]] + h.view(np.uint64) % blocks[cells[:, 0]].astype(np.uint64)
                 own = own.astype(np.int64)
                 code = quant.encode(x, BEAM)
@@ -241,7 +244,7 @@ class Neighbours:
             def answer(q, qh):
                 for at in range(0, len(q), 1024):
                     x, hh = q[at : at + 1024], qh[at : at + 1024]
-                    cells, use = scores(x, quant.coarse)
+                    cells, use = scores(x, quant.coarse, sent.value[5])
                     if cells.shape[1] < PROBES:
                         cells = np.pad(cells, ((0, 0), (0, PROBES - cells.shape[1])))
                         use = np.pad(use, ((0, 0), (0, PROBES - use.shape[1])))
