@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quern.operators.delta import KEY
 
 PART = ["version", "bucket"]
+ROWS_PER_BUCKET = 1_000_000
 
 
 def bucket(n: int) -> Column:
@@ -55,8 +56,8 @@ class IncrementalRun:
     """One named job with its state below `path`: out/ and fingerprints/, both
     partitioned by version and bucket."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 4):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, rows_per_bucket: int = ROWS_PER_BUCKET):
+        self.spark, self.path, self.rows_per_bucket = spark, path.rstrip("/"), rows_per_bucket
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._exists = lambda d: p(d).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p(d))
 
@@ -64,6 +65,16 @@ class IncrementalRun:
         d = f"{self.path}/fingerprints"
         return self.spark.read.schema(like.schema).parquet(d) if self._exists(d) else self.spark.createDataFrame([], like.schema)
 
+    def _buckets(self, walk: DataFrame, log: DataFrame) -> int:
+        """Buckets per version: chosen at the first run by the largest version
+        and kept with the state, as a partition must not move later."""
+        d = f"{self.path}/buckets"
+        if not self._exists(f"{d}/_SUCCESS"):
+            both = walk.select("version").unionByName(log.select("version")).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+            n = both.agg(F.greatest(F.lit(1), F.ceil(F.max("n") / self.rows_per_bucket)).cast("int").alias("n"))
+            n.write.mode("overwrite").parquet(d)
+        return self.spark.read.parquet(d).first()[0]
+
     def _replace(self, df: DataFrame, name: str) -> None:
         """Dynamic overwrite: only partitions present in df are replaced."""
         df.repartition(*PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PART).parquet(f"{self.path}/{name}")
@@ -71,9 +82,10 @@ class IncrementalRun:
     def run(self, walk: DataFrame, log: DataFrame, runs: DataFrame, fail_before_commit: bool = False) -> DataFrame:
         """Bring the result up to date and return it (all partitions).  The
         fingerprints go into a file per changed partition after the rows."""
-        w = walk.select(*KEY, "sha256", bucket(self.buckets))
+        n = self._buckets(walk, log)
+        w = walk.select(*KEY, "sha256", bucket(n))
         ok = runs.where("run_status = 'ok'").select("run_id").distinct()
-        m = log.join(ok, "run_id", "left_semi").select(*KEY, "sha256", "run_id", "written_at", bucket(self.buckets))
+        m = log.join(ok, "run_id", "left_semi").select(*KEY, "sha256", "run_id", "written_at", bucket(n))
         now = fingerprints(w, "walk").unionByName(fingerprints(m, "log")).select("source", "n", "lo", "hi", *PART)
         from quern.session import written
 
