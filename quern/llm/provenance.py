@@ -166,30 +166,32 @@ def _rows(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, len(LABELS)))
 
 
-def upward(h: Column) -> Column:
-    """Message of a node to its parent."""
+def couplings(crowd: float) -> np.ndarray:
+    """Logs of HOLDS, and of what a mixed directory holds: `crowd` of it is
+    whatever a root holds."""
+    return np.log(np.stack((HOLDS, (1 - crowd) * HOLDS + crowd * ROOT)))
+
+
+def upward(h: Column, mixed: Column, crowd: float) -> Column:
+    """Message of a node to its parent, which may be a mixed one."""
+    holds = couplings(crowd)
 
     @F.pandas_udf("array<double>")
-    def run(col: pd.Series) -> pd.Series:
-        return pd.Series(list(_log_sum(_rows(col)[:, None, :] + np.log(HOLDS))), dtype=object)
+    def run(col: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series(list(_log_sum(_rows(col)[:, None, :] + holds[at.to_numpy().astype(int)])), dtype=object)
 
-    return run(h)
+    return run(h, mixed)
 
 
-def downward(total: Column, message: Column) -> Column:
-    """What the parent believes without the child, seen from the child; the
-    prior of a root where there is no parent."""
+def downward(total: Column, message: Column, mixed: Column, crowd: float) -> Column:
+    """What the parent believes without the child, seen from the child."""
+    holds = couplings(crowd).transpose(0, 2, 1)
 
     @F.pandas_udf("array<double>")
-    def run(t: pd.Series, m: pd.Series) -> pd.Series:
-        out = np.tile(np.log(ROOT), (len(t), 1))
-        at = np.flatnonzero(t.notna().to_numpy())
-        if len(at):
-            rest = _rows(t.iloc[at]) - _rows(m.iloc[at])
-            out[at] = _log_sum(rest[:, None, :] + np.log(HOLDS).T)
-        return pd.Series(list(out), dtype=object)
+    def run(t: pd.Series, m: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series(list(_log_sum((_rows(t) - _rows(m))[:, None, :] + holds[at.to_numpy().astype(int)])), dtype=object)
 
-    return run(total, message)
+    return run(total, message, mixed)
 
 
 def shares(logs: Column) -> Column:
@@ -201,12 +203,13 @@ def shares(logs: Column) -> Column:
     return run(logs)
 
 
-def propagate(files: DataFrame, path: str = "file_path", evidence: str = "u", crowd: float = 0.005) -> DataFrame:
+def propagate(files: DataFrame, path: str = "file_path", evidence: str = "u", crowd: float = 0.5) -> DataFrame:
     """(path, belief): marginal probabilities of the labels of every file.
 
-    Levels at the top whose directories are fewer than `crowd` of the files
-    are cut off: each of their directories holds too many kinds of files to
-    inform any of them.  What is below are trees of their own, each exact."""
+    The tree is whole, from the root on.  Directories at its top that say
+    nothing by name and hold only directories, like all above them, are mixed
+    ones: by `crowd`, what lies in them is taken as if it lay in a root of its
+    own.  How many files there are does not matter."""
     k = len(LABELS)
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     total = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(k)])
@@ -214,42 +217,46 @@ def propagate(files: DataFrame, path: str = "file_path", evidence: str = "u", cr
     depth = lambda c: F.size(F.split(c, "/"))
     above = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
 
-    # files: all at once, whatever their depth
-    node = F.concat(F.lit("/"), F.regexp_replace(path, "^/+", ""))
-    f = written(files.select(F.col(path).alias("file"), above(node).alias("parent"), F.col(evidence).alias("u"), upward(F.col(evidence)).alias("m")), "file-messages")
-    below = f.groupBy(F.col("parent").alias("node")).agg(total("m").alias("below"), F.count(F.lit(1)).alias("files"))
+    # files: all at once, whatever their depth; a directory with files is not a mixed one
+    node, no = F.concat(F.lit("/"), F.regexp_replace(path, "^/+", "")), F.lit(False)
+    f = written(files.select(F.col(path).alias("file"), above(node).alias("parent"), F.col(evidence).alias("u"), upward(F.col(evidence), no, crowd).alias("m")), "file-messages")
+    below = f.groupBy(F.col("parent").alias("node")).agg(total("m").alias("below"))
     parts = F.split("node", "/")
     chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     dirs = below.select(F.explode(chain).alias("node")).distinct().join(below, "node", "left")
-    dirs = dirs.select("node", above("node").alias("parent"), depth("node").alias("d"), plus(directory_unary(F.substring_index("node", "/", -1)), F.coalesce("below", zero)).alias("u"), F.coalesce("files", F.lit(0)).alias("files"))
+    own = directory_unary(F.substring_index("node", "/", -1))
+    dirs = dirs.select("node", above("node").alias("parent"), depth("node").alias("d"), plus(own, F.coalesce("below", zero)).alias("u"), (F.col("below").isNotNull() | F.exists(own, lambda x: x > 0)).alias("told"))
     dirs = written(dirs, "directories")
-    sizes = {r[0]: (r[1], r[2]) for r in dirs.groupBy("d").agg(F.count(F.lit(1)), F.sum("files")).collect()}  # a row per depth
+    sizes = [r[0] for r in dirs.select("d").distinct().collect()]  # a row per depth
     if not sizes:
         return files.select(F.col(path), F.lit(None).cast("array<double>").alias("belief"))
-    everything = sum(n for _, n in sizes.values())
-    top = next((d for d in sorted(sizes) if sizes[d][0] >= crowd * everything or sizes[d][1] > 0), max(sizes))
+    top, last = min(sizes), max(sizes)
+    # mixed: the parent and all above it are not told apart by a name or a file
+    over = dirs.where(F.col("d") > top).select("node", F.explode(F.slice(chain, 1, F.size(parts) - 1)).alias("up"))
+    under = over.join(dirs.where("told").select(F.col("node").alias("up")), "up", "left_semi").select("node").distinct().withColumn("under", F.lit(True))
+    dirs = written(dirs.join(under, "node", "left").withColumn("mixed", F.col("under").isNull()), "directories")
 
     levels: dict[int, DataFrame] = {}
-    for d in range(max(sizes), top - 1, -1):
+    for d in range(last, top - 1, -1):
         here = dirs.where(F.col("d") == d)
         if d + 1 in levels:
             got = levels[d + 1].groupBy(F.col("parent").alias("node")).agg(total("m").alias("more"))
             here = here.join(got, "node", "left").withColumn("h", plus(F.col("u"), F.coalesce("more", zero)))
         else:
             here = here.withColumn("h", F.col("u"))
-        levels[d] = written(here.select("node", "parent", "h", upward(F.col("h")).alias("m")), f"up-{d}")
+        levels[d] = written(here.select("node", "parent", "mixed", "h", upward(F.col("h"), F.col("mixed"), crowd).alias("m")), f"up-{d}")
     down = {}
-    for d in range(top, max(sizes) + 1):
+    for d in range(top, last + 1):
         here = levels[d]
         if d == top:
             here = here.select("node", plus(F.col("h"), root).alias("total"))
         else:
-            here = here.join(down[d - 1].select(F.col("node").alias("parent"), F.col("total").alias("t")), "parent", "left")
-            here = here.select("node", plus(F.col("h"), downward(F.col("t"), F.col("m"))).alias("total"))
+            here = here.join(down[d - 1].select(F.col("node").alias("parent"), F.col("total").alias("t")), "parent")
+            here = here.select("node", plus(F.col("h"), downward(F.col("t"), F.col("m"), F.col("mixed"), crowd)).alias("total"))
         down[d] = written(here, f"down-{d}")
     every = reduce(DataFrame.unionByName, down.values())
-    done = f.join(every.select(F.col("node").alias("parent"), F.col("total").alias("t")), "parent", "left")
-    done = done.select("file", plus(F.col("u"), downward(F.col("t"), F.col("m"))).alias("total"))
+    done = f.join(every.select(F.col("node").alias("parent"), F.col("total").alias("t")), "parent")
+    done = done.select("file", plus(F.col("u"), downward(F.col("t"), F.col("m"), no, crowd)).alias("total"))
     return done.select(F.col("file").alias(path), shares(F.col("total")).alias("belief"))
 
 

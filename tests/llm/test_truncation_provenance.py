@@ -92,6 +92,19 @@ def test_propagation_is_exact_on_a_small_tree(spark):
         assert np.allclose(got[p], want[i], atol=1e-6)
 
 
+def test_directories_at_the_top_take_part_whatever_the_number_of_files(spark):
+    mute, plain, seen = [0.0, -3.5, -2.0, 0.0, -6.0], [0.0, -3.5, -2.0, -2.5, -6.0], [0.0, -3.5, -2.0, 6.5, -6.0]
+    few = [(f"/vendor/lib{i}/src/a.c", mute) for i in range(2)] + [("/own/tool/src/a.c", mute)]
+    many = [(f"/work/p{i}/src/f{j}.c", plain) for i in range(60) for j in range(15)]
+    for rows in (few, few + many):
+        got = {x.file_path: x.belief for x in provenance.propagate(spark.createDataFrame(rows, "file_path string, u array<double>")).collect()}
+        assert all(got[p][3] > 0.5 for p, _ in few[:2]) and got["/own/tool/src/a.c"][0] > 0.5
+    # a top that holds mostly copies does not decide for the few files of a project beside them
+    copies = [(f"/work/c{i}/src/f{j}.c", seen) for i in range(20) for j in range(3)]
+    got = {x.file_path: x.belief for x in provenance.propagate(spark.createDataFrame([*copies, ("/work/own/src/a.c", plain)], "file_path string, u array<double>")).collect()}
+    assert got["/work/own/src/a.c"][0] > 0.5 and got["/work/c3/src/f1.c"][3] > 0.9
+
+
 HAND = "// keeps the queue in step with the reader\nint drain_queue(struct queue *head)\n{\n    while (head->next != NULL) {\n        release_buffer(head->next);\n        head = head->next;\n    }\n    return head->count;\n}\n"
 
 
