@@ -16,6 +16,7 @@ by all its rows.  Empty tables give empty results.
 
 from __future__ import annotations
 
+import io
 import re
 from functools import reduce
 
@@ -57,7 +58,7 @@ GEN_HEAD = re.compile(
     re.I | re.M,
 )
 VENDOR_HEAD = re.compile(
-    r"\bupstream release\b|\bsynced from upstream\b|\bthis copy of \S+ [^\n]*(?:kept|vendored|bundled)\b|^\W*(?P<lib>\S+) v?\d+(?:\.\d+)+ -- distributed under\b|\(c\) the \S+ authors\b|\bcopyright [\d\s,-]+\S+ project\b|\ball rights as per LICENSE\.\w+|\bvendored from\b|\bimported (?:\w+ ){0,2}from \S+",
+    r"\bupstream release\b|\bsynced from upstream\b|\bthis copy of \S+ [^\n]*(?:kept|vendored|bundled)\b|^\W*+(?P<lib>\S+) v?\d+(?:\.\d+)+ -- distributed under\b|\(c\) the \S+ authors\b|\bcopyright [\d\s,-]+\S+ project\b|\ball rights as per LICENSE\.\w+|\bvendored from\b|\bimported (?:\w+ ){0,2}from \S+",
     re.I | re.M,
 )
 COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*|^[ \t]*#(?![ \t]*(?:define|include|if|else|endif|line|pragma|ifdef|ifndef|undef))[^\n]*", re.S | re.M)
@@ -67,21 +68,32 @@ IDENT = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*")
 PLAIN_NUMBERED = re.compile(r"u?int\d+(?:_t)?$|[uif]\d+$|float\d+$")  # names of types, not of generated things
 NUMBERED = re.compile(r"\d\d")
 SPACE = re.compile(r"\s+")
+STARTS = ("/*", "//", "#", "--", ";", "*", '"""')  # of comment lines
+INCLUDE = re.compile(r"#\s*(?:include|import)\b")
+WORDY = re.compile(r"\w")
 
 FEATURES = "file_path string, n bigint, data bigint, ids bigint, short bigint, numbered bigint, blank bigint, dense bigint, gen int, ven int, copy bigint"
 
 
 def head(text: str) -> str:
-    """The comment lines a text starts with."""
-    out, block = [], False
-    for line in text.lstrip()[:2000].split("\n")[:16]:
-        s = line.strip()
-        block = block or s.startswith("/*")
-        if not (block or s.startswith(("//", "#", "--", ";", "*", '"""'))):
+    """The comment lines a text starts with, however many, and blank lines
+    between them passed over (until something is included).  Lines without a
+    word say nothing and are left out."""
+    out, block, included = [], False, False
+    for line in io.StringIO(text):
+        s = rest = line.strip()
+        if not s and included and not block:
             break
-        out.append(s)
-        if "*/" in s:
-            block = False
+        while rest and (block or rest.startswith(STARTS)):
+            at = rest.find("*/") if block or rest.startswith("/*") else -1
+            block = at < 0 and (block or rest.startswith("/*"))
+            rest = rest[at + 2 :].lstrip() if at >= 0 else ""
+        s = s[: len(s) - len(rest)].rstrip()
+        if WORDY.search(s):
+            out.append(s)
+        if rest:
+            break
+        included = included or bool(INCLUDE.match(s))
     return "\n".join(out)
 
 

@@ -131,6 +131,20 @@ def test_labels(spark, path, text, label):
     assert got["/p/empty.c"].label == "handwritten" and all(got[p].label == "handwritten" for p, _ in others)
 
 
+@pytest.mark.parametrize("between", ["", "\n", "\n\n#pragma once\n\n"])
+@pytest.mark.parametrize("licence", ["// Licensed to the owners.\n" * 3, "// Licensed to the owners.\n" * 40, "/*\n" + " * Terms of use follow, at length.\n\n" * 200 + " */\n"])
+def test_notices_after_a_licence_are_seen(licence, between):
+    assert provenance.look(licence + between + "// Code generated by maker from port.idl; DO NOT EDIT.\n" + HAND)[7:9] == (1, 0)
+    assert provenance.look(licence + between + "// synced from upstream 81c8f40ad5\n" + HAND)[7:9] == (0, 1)
+    assert provenance.look(licence + between + HAND + "// Code generated by maker from port.idl; DO NOT EDIT.\n")[7:9] == (0, 0)
+
+
+def test_the_head_ends_at_code():
+    assert provenance.head("/* a */ int x; /* b */\n// c") == "/* a */"
+    assert provenance.head("// a\n\n#include <b.h>\n\n// c\nint d;") == "// a\n#include <b.h>"
+    assert provenance.look("/" + "*" * 300000 + "\n" + "//\n" * 30000 + HAND)[7:9] == (0, 0)
+
+
 def test_siblings_inform_each_other(spark):
     lib = [(f"/p/opt/zed/part{i}.c", "// upstream release 1.2.3; local patches: none\n" + HAND.replace("queue", f"zone{chr(97 + i)}")) for i in range(5)] + [("/p/opt/zed/last.c", HAND.replace("queue", "zonez"))]
     own = [(f"/p/src/m{i}.c", HAND.replace("queue", f"mine{chr(97 + i)}")) for i in range(12)]
