@@ -2,7 +2,8 @@
 
 Two kinds of evidence meet in one posterior.  Lengths: for every source and
 unit (characters, bytes) a log-normal length distribution is fitted by maximum
-likelihood, right-censored at each length that occurs suspiciously often; the
+likelihood, right-censored at each length that more different texts have than the fit and
+the lengths around it let expect, be their share ever so small; the
 censoring posterior of a value at such a limit is one minus the share that the
 fit itself puts there.  Away from limits a small prior for cut transfers holds.
 Endings: a logistic model of the end of a text, trained on the collection's own
@@ -29,7 +30,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.session import written
@@ -37,7 +38,8 @@ from quern.session import written
 SAMPLE, PER_DOC = 4000, 24
 BITS = 18
 PRIOR, SURE = 0.15, 0.95  # weight of a cut away from any limit; most that a limit alone may claim
-LEAST_COUNT, LEAST_SHARE = 4, 0.008  # of a source's rows at one length, for a candidate limit
+LEAST_COUNT, CHANCE = 4, 1e-3  # texts at one length, and how likely so many may be without a limit, for a candidate
+NEAR, SPLIT = 32, 3  # lengths on either side that tell how many to expect; those next to a limit that characters split by it fall on
 TAIL = 240
 OPEN = 4.0  # least evidence of an open code block or table row
 CLOSING, LINES = 60, 32  # characters of a closing line; other lines looked at per sampled text
@@ -224,24 +226,24 @@ def fit_censored(n: float, s1: float, s2: float, cens: list[tuple[float, float]]
 
 
 def endings(docs: DataFrame, ident: str, text: str, source: str, model: EndModel) -> DataFrame:
-    """(doc_id, source, chars, bytes, evidence) of every non-blank text."""
+    """(doc_id, source, chars, bytes, evidence, hash) of every non-blank text."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.words, model.closing))  # 2 MB and at most `SAMPLE` lines
 
     def run(batches):
         m = EndModel(*sent.value)
         for pdf in batches:
             out = []
-            for i, t, s in zip(pdf["doc_id"], pdf["text"], pdf["source"]):
+            for i, t, s, h in zip(pdf["doc_id"], pdf["text"], pdf["source"], pdf["hash"]):
                 if t.strip():
                     fenced = bool(len(FENCE.findall(t)) % 2) if "```" in t or "~~~" in t else False
                     bare = t.rstrip("�")
                     size = len(bare.encode("utf-8", "surrogatepass"))
                     marked = bool(MARK.search(t[-TAIL:])) and not m.closes(t[-TAIL:])
-                    out.append((i, s, len(t), size, m.score(t[-TAIL:], fenced, len(t)), marked, len(bare) < len(t)))
-            yield pd.DataFrame(out, columns=["doc_id", "source", "chars", "bytes", "evidence", "marked", "broken"])
+                    out.append((i, s, len(t), size, m.score(t[-TAIL:], fenced, len(t)), marked, len(bare) < len(t), h))
+            yield pd.DataFrame(out, columns=["doc_id", "source", "chars", "bytes", "evidence", "marked", "broken", "hash"])
 
-    rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source")).where("doc_id is not null and text is not null")
-    return rows.mapInPandas(run, "doc_id bigint, source string, chars bigint, bytes bigint, evidence double, marked boolean, broken boolean")
+    rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("hash")).where("doc_id is not null and text is not null")
+    return rows.mapInPandas(run, "doc_id bigint, source string, chars bigint, bytes bigint, evidence double, marked boolean, broken boolean, hash bigint")
 
 
 def train(docs: DataFrame, ident: str, text: str, sample: int = SAMPLE) -> EndModel:
@@ -270,25 +272,36 @@ def limits(ends: DataFrame) -> DataFrame:
     """(source, unit, size, rows, censored): candidate limits of each source
     with the posterior that a value at the limit was cut there."""
     unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size"))))
-    u = ends.select("source", unit.alias("x")).select("source", "x.unit", "x.size")
-    h = u.groupBy("source", "unit", "size").agg(F.count(F.lit(1)).alias("c"))
-    total = h.groupBy("source", "unit").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("size")).alias("s1"), F.sum(F.col("c") * F.log("size") * F.log("size")).alias("s2")).select(F.col("source").alias("s"), F.col("unit").alias("u"), "n", "s1", "s2")
-    cand = h.where(F.col("c") >= LEAST_COUNT).join(total, h["source"].eqNullSafe(F.col("s")) & (h["unit"] == F.col("u"))).where(F.col("c") >= F.col("n") * LEAST_SHARE)
-    # a source has at most 1 / LEAST_SHARE candidates a unit
-    packed = cand.groupBy("source", "unit", "n", "s1", "s2").agg(F.sort_array(F.collect_list(F.struct("size", "c"))).alias("at"))
+    u = ends.select("source", "hash", unit.alias("x")).select("source", "hash", "x.unit", "x.size")
+    h = u.groupBy("source", "unit", "size", "hash").agg(F.count(F.lit(1)).alias("c")).groupBy("source", "unit", "size").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("texts"))
+    log = F.log("size")
+    total = h.groupBy("source", "unit").agg(F.sum("c").alias("n"), F.sum("texts").alias("all"), F.sum(F.col("c") * log).alias("s1"), F.sum(F.col("c") * log * log).alias("s2")).select(F.col("source").alias("s"), F.col("unit").alias("u"), "n", "all", "s1", "s2")
+    # texts expected at a length: by the fit of all rows, or by the lengths around it where they are more
+    w = Window.partitionBy("source", "unit").orderBy("size")
+    around = [F.coalesce(F.sum("texts").over(w.rangeBetween(*r)), F.lit(0)) / F.lit(NEAR) for r in ((-SPLIT - NEAR, -SPLIT - 1), (SPLIT + 1, SPLIT + NEAR))]
+    x = h.withColumn("near", F.greatest(*around)).where(F.col("texts") >= LEAST_COUNT).join(total, h["source"].eqNullSafe(F.col("s")) & (h["unit"] == F.col("u")))
+    mu, var = F.col("s1") / F.col("n"), F.greatest(F.col("s2") / F.col("n") - F.pow(F.col("s1") / F.col("n"), F.lit(2)), F.lit(1e-4))
+    fit = F.col("all") * F.exp(-F.pow(log - mu, F.lit(2)) / (2 * var)) / (F.col("size") * F.sqrt(var * 2 * math.pi))
+    x = x.withColumn("expected", F.greatest("near", fit, F.lit(1e-9)))
+    # a Poisson count of that mean is as large with a chance below exp(-(expected - texts + texts * log(texts / expected)))
+    excess = F.col("expected") - F.col("texts") + F.col("texts") * F.log(F.col("texts") / F.col("expected"))
+    cand = x.where((F.col("texts") >= 2 * F.col("expected")) & (excess >= -math.log(CHANCE)))
+    # only lengths that stand out are collected, whatever their share of the source
+    packed = cand.groupBy("source", "unit", "n", "s1", "s2").agg(F.sort_array(F.collect_list(F.struct("size", "c", (F.col("near") * F.col("c") / F.col("texts")).alias("near")))).alias("at"))
 
     def run(batches):
         for pdf in batches:
             out = []
             for s, u, n, s1, s2, at in zip(*(pdf[c] for c in ("source", "unit", "n", "s1", "s2", "at"))):
+                near = [a["near"] for a in at]
                 at = [(a["size"], a["c"]) for a in at]
                 n0 = n - sum(c for _, c in at)
                 r1 = s1 - sum(c * math.log(z) for z, c in at)
                 r2 = s2 - sum(c * math.log(z) ** 2 for z, c in at)
                 mu, sd = fit_censored(n0, r1, r2, [(math.log(z), c) for z, c in at])
-                for z, c in at:
+                for (z, c), beside in zip(at, near):
                     x = (math.log(z) - mu) / sd
-                    natural = n * math.exp(-0.5 * x * x) / (z * sd * math.sqrt(2 * math.pi))
+                    natural = max(beside, n * math.exp(-0.5 * x * x) / (z * sd * math.sqrt(2 * math.pi)))
                     p = 1 - min(1.0, natural / c)
                     if p > 0.5:
                         out.append((s, u, z, c, p))

@@ -45,6 +45,16 @@ def test_cut_texts_are_found(spark):
     assert by["limited"].at_limit > 50 and by["free"].at_limit == 0 and None in by
 
 
+def test_a_limit_that_few_of_a_large_source_meet_is_found(spark):
+    r = np.random.default_rng(5)
+    sizes = np.minimum(np.exp(r.normal(6.0, 0.5, 20000)).astype(int) + 1, 1500)
+    at = int((sizes == 1500).sum())
+    rows = [("big", int(n), int(n), i) for i, n in enumerate(sizes)] + [("big", 411, 411, -1)] * 150 + [(None, 90 + i, 90 + i, i) for i in range(300)]
+    got = truncation.limits(spark.createDataFrame(rows, "source string, chars long, bytes long, hash long")).collect()
+    assert 4 <= at < 0.008 * len(sizes) and {(x.source, x.unit, x.size, x.rows) for x in got} == {("big", u, 1500, at) for u in ("chars", "bytes")}
+    assert all(x.censored > 0.9 for x in got)
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert truncation.judged(df).count() == 0
