@@ -60,7 +60,7 @@ BLOCK = 20_000  # nodes of the tree in one task
 SAMPLE, BITS, LEAST = 2000, 16, 3  # rows a label and fold for the regressions; slots of their terms; lines a term must be in
 STEPS, DECAY = 80, 0.5
 ROUNDS = 2  # of learning after the first propagation
-CLIP, TRAITS, LOW, MARGIN = 8.0, 3.0, -0.5, 1.0  # most that notes and that traits may say for a label, least (a missing notice says little), margin
+CLIP, TRAITS, LOW, MARGIN = 8.0, 3.0, -0.5, 2.0  # most that notes and that traits may say for a label, least (a missing notice says little), margin
 NAMED = 4.0  # most that a learned directory name may say for a label (least: -1)
 STRONG, FOLDER = 6.0, 9.0  # an unambiguous convention: of a file name or mark, of a folder
 SURE = 0.5  # belief from which a file is an example
@@ -75,7 +75,7 @@ MAYBE_GEN_DIRS = r"^gen$"
 PACK_DIRS = r"^(dist|bundle|bundles)$"
 VERSIONED_DIR = r"^[a-z][a-z0-9_]*-\d+\.\d+(\.\d+)*$"
 # File names that compilers of interfaces, parser generators and tool kits write.
-GEN_NAMES = re.compile(r"(\.(pb|pb-c|tab|yy|gen|generated|designer|g)\.[a-z]+$|_(pb2|pb2_grpc|gen|autogen|generated|parsetab)\.[a-z]+$|^(moc|ui|qrc)_\w+\.(c|cc|cpp|h|py)$|^parsetab\.py$|^zz_generated)", re.I)
+GEN_NAMES = re.compile(r"(\.(pb|pb-c|tab|yy|gen|generated|designer|g)\.[a-z]+$|_(pb2|pb2_grpc|gen|autogen|generated|parsetab)\.[a-z]+$|^parsetab\.py$)", re.I)
 # File names of minifiers and bundlers.
 MIN_NAMES = re.compile(r"(\.min\.[a-z]+$|-min\.[a-z]+$|\.bundle\.[a-z]+$|\.[0-9a-f]{6,}\.(js|css)$)", re.I)
 # Marks of generated code that tools document (Go, .NET, phabricator-style, general).
@@ -563,13 +563,15 @@ def said(ratio: Column, most: float) -> Column:
 def name_ratios(nodes: DataFrame) -> DataFrame:
     """(name, said): log-odds of directory names over all directories.  What a
     name says is how much likelier directories of that name have a state than
-    directories have in general, smoothed by three of the latter."""
+    directories have in general, smoothed by three of the latter; it speaks for a
+    state only if most directories of the name have it."""
     x = nodes.where("node <> '' and not node like '%/*%'").select(F.regexp_replace(F.substring_index("node", "/", -1), r"\d+", "0").alias("name"), "belief")
     every = np.array(x.agg(_total("belief").alias("b")).first()[0] or [1.0] * K, dtype=float)
     every = every / every.sum()
     by = x.groupBy("name").agg(_total("belief").alias("b"), F.count(F.lit(1)).alias("dirs")).where("dirs >= 3")
     ratio = [F.log((F.col("b")[i] + F.lit(float(3 * every[i] + 1e-3))) / ((F.col("dirs") + 3) * F.lit(float(every[i] + 1e-3)))) for i in range(K)]
-    said = [F.greatest(F.lit(-1.0), F.least(F.lit(NAMED), r - ratio[HAND])) for r in ratio]
+    most = [F.col("b")[i] >= F.col("dirs") / 2 for i in range(K)]
+    said = [F.greatest(F.lit(-1.0), F.least(F.when(m, F.lit(NAMED)).otherwise(0.0), r - ratio[HAND])) for r, m in zip(ratio, most)]
     return by.select("name", F.array(*said).alias("said"))
 
 
