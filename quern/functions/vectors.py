@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def usable(v, dim: int | None) -> bool:
-    """A vector takes part if it has `dim` values, all finite, not all zero."""
-    return v is not None and (dim is None or len(v) == dim) and bool(np.isfinite(np.asarray(v, dtype=np.float64)).all()) and bool(np.any(v))
+def matrix(col, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that take part (of `dim` values, all finite, not all zero) of an
+    Arrow list array, and their values, from its flat buffer."""
+    off = col.offsets.to_numpy()
+    ok = (np.diff(off) == dim) & col.is_valid().to_numpy(zero_copy_only=False)
+    values = col.values.to_numpy(zero_copy_only=False)  # null elements become NaN
+    rows = np.flatnonzero(ok)
+    if len(rows) == len(off) - 1 and len(rows):
+        m = values[off[0] : off[-1]].reshape(-1, dim)
+    else:
+        m = values[(off[:-1][ok][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
+    m = m.astype(np.float64)
+    good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+    return (rows, m) if good.all() else (rows[good], m[good])
 
 
 def cosine_to(vector: Column, query: list[float]) -> Column:
@@ -19,32 +30,21 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
     q = np.asarray(query, dtype=np.float64)
     q = q / np.linalg.norm(q)
 
-    @F.pandas_udf("double")
-    def run(col: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def run(col: pa.Array) -> pa.Array:
+        rows, m = matrix(col, len(q))
         out = np.full(len(col), np.nan)
-        ok = [i for i, v in enumerate(col) if usable(v, len(q))]
-        if ok:
-            m = np.stack([np.asarray(col.iloc[i], dtype=np.float64) for i in ok])
-            out[ok] = (m @ q) / np.linalg.norm(m, axis=1)
-        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+        out[rows] = (m @ q) / np.sqrt(np.einsum("ij,ij->i", m, m))
+        return pa.array(out, from_pandas=True)
 
     return run(vector)
 
 
 def l2_normalize(vector: Column) -> Column:
     """Unit-length copy (array<double>); the norm counts as 1e-9 at least."""
-
-    @F.pandas_udf("array<double>")
-    def run(col: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None:
-                return None
-            x = np.asarray(v, dtype=np.float64)
-            return x / max(float(np.sqrt((x * x).sum())), 1e-9)
-
-        return col.map(one)
-
-    return run(vector)
+    v = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
+    return F.transform(v, lambda x: x / norm)
 
 
 def mean_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:

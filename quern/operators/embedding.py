@@ -26,18 +26,50 @@ def hash_vectors(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def threads(limit: int | None = None) -> int:
+    """Threads of one model session: one a task where Spark runs tasks side by
+    side, up to `limit` of the processors otherwise."""
+    import os
+
+    from pyspark import TaskContext
+
+    return 1 if TaskContext.get() else max(1, min(limit or os.cpu_count() or 1, os.cpu_count() or 1))
+
+
+def find_model(name: str | None = None, home: str | None = None) -> str | None:
+    """The folder of a model: `name` as a path, then below `home`/models."""
+    import os
+
+    for d in ([name] if name else []) + ([os.path.join(home, "models", name or "default")] if home else []):
+        if all(os.path.exists(os.path.join(d, f)) for f in ("model.onnx", "tokenizer.json")):
+            return d
+    return None
+
+
+_loaded: dict[str, tuple] = {}
+
+
+def loaded(folder: str) -> tuple:
+    """Tokenizer and session of this process."""
+    if folder not in _loaded:
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(f"{folder}/tokenizer.json")
+        tok.enable_truncation(MAX_PIECES)
+        tok.enable_padding(length=MAX_PIECES)
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = threads()
+        _loaded[folder] = tok, onnxruntime.InferenceSession(f"{folder}/model.onnx", options, providers=onnxruntime.get_available_providers())
+    return _loaded[folder]
+
+
 def onnx_vectors(folder: str, texts: list[str], batch: int = 256) -> np.ndarray:
     """Mean-pooled unit vectors of the model in `folder` (model.onnx,
     tokenizer.json), the first 128 pieces of each text."""
-    import onnxruntime
-    from tokenizers import Tokenizer
-
     from quern.functions.vectors import mean_pool
 
-    tok = Tokenizer.from_file(f"{folder}/tokenizer.json")
-    tok.enable_truncation(MAX_PIECES)
-    tok.enable_padding(length=MAX_PIECES)
-    run = onnxruntime.InferenceSession(f"{folder}/model.onnx")
+    tok, run = loaded(folder)
     names, out = {i.name for i in run.get_inputs()}, []
     for at in range(0, len(texts), batch):
         enc = tok.encode_batch([t or "" for t in texts[at : at + batch]])

@@ -59,9 +59,17 @@ def orphans(children: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 class ReferenceLedger:
-    """The counts, kept as Parquet between runs: one generation per applied
-    batch, made current by renaming a pointer file, so that a failed run
-    leaves the former generation in force and a batch is applied once."""
+    """The counts, kept as Parquet between runs, one generation per applied
+    batch.  A generation is current once its pointer `commits/<number>` stands,
+    and the highest number wins: pointers are written whole under another name
+    and renamed to a name that did not exist, never replaced, so that a run
+    that fails anywhere leaves the former generation in force.  Two writers at
+    once cannot both take a number; the second fails and may apply again.
+
+    Batches are known by stream and number (`stream-number`; a name without a
+    number is a stream of its own).  Numbers of a stream come in order, as
+    those of Structured Streaming do, so the highest one of each is all that is
+    kept: a batch not above it had been applied."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -69,28 +77,53 @@ class ReferenceLedger:
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> list[str]:
-        at = self._p(f"{self.path}/current")
-        if not self._fs.exists(at):
-            return []
-        return [r.value for r in self.spark.read.text(f"{self.path}/current").collect()]  # generation and the ids of applied batches
+    def _commits(self) -> list[int]:
+        at = self._p(f"{self.path}/commits")
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _state(self) -> tuple[int, str | None, dict[str, int]]:
+        """(number of the last commit, its generation, highest batch of each stream)"""
+        done = self._commits()
+        if not done:
+            return 0, None, {}
+        rows = self.spark.read.parquet(f"{self.path}/commits/{done[-1]}").collect()  # a row per stream
+        return done[-1], rows[0]["generation"], {r["stream"]: r["batch"] for r in rows}
 
     def counts(self) -> DataFrame | None:
-        now = self._pointer()
-        return self.spark.read.parquet(f"{self.path}/{now[0]}") if now else None
+        _, gen, _ = self._state()
+        return self.spark.read.parquet(f"{self.path}/{gen}") if gen else None
+
+    def _publish(self, tmp: str, number: int) -> None:
+        self._fs.mkdirs(self._p(f"{self.path}/commits"))
+        to = self._p(f"{self.path}/commits/{number}")
+        if self._fs.exists(to) or not self._fs.rename(self._p(tmp), to):
+            raise OSError(f"could not publish commit {number}")
 
     def apply(self, batch_id: str, *deltas: DataFrame) -> bool:
         """Fold deltas in; False if this batch had been applied already."""
-        now = self._pointer()
-        if batch_id in now[1:]:
+        stream, _, n = batch_id.rpartition("-")
+        stream, batch = (stream, int(n)) if stream and n.isdigit() else (batch_id, 0)
+        number, gen, seen = self._state()
+        if seen.get(stream, -1) >= batch:
             return False
-        old = self.counts()
-        gen = f"gen-{uuid.uuid4().hex}"
-        merge_counts(*([old] if old is not None else []), *deltas).write.parquet(f"{self.path}/{gen}")
-        tmp = f"{self.path}/.next-{gen}"
-        self.spark.createDataFrame([(x,) for x in [gen, *now[1:], batch_id]], "value string").coalesce(1).write.text(tmp)
-        if now:
-            self._fs.delete(self._p(f"{self.path}/current"), True)
-        if not self._fs.rename(self._p(tmp), self._p(f"{self.path}/current")):
-            raise OSError(f"could not publish {gen}")
+        new = f"gen-{uuid.uuid4().hex}"
+        old = [self.spark.read.parquet(f"{self.path}/{gen}")] if gen else []
+        merge_counts(*old, *deltas).write.parquet(f"{self.path}/{new}")
+        tmp = f"{self.path}/.next-{new}"
+        rows = [(new, k, v) for k, v in ({**seen, stream: batch}).items()]
+        self.spark.createDataFrame(rows, "generation string, stream string, batch long").coalesce(1).write.parquet(tmp)
+        self._publish(tmp, number + 1)
         return True
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove what only commits older than the last `keep` refer to, and
+        generations of runs that failed; how many were removed."""
+        done = self._commits()
+        live = {self.spark.read.parquet(f"{self.path}/commits/{n}").first()["generation"] for n in done[-keep:]}
+        for n in done[:-keep]:
+            self._fs.delete(self._p(f"{self.path}/commits/{n}"), True)
+        dead = [f.getPath() for f in self._fs.listStatus(self._p(self.path)) if f.getPath().getName().startswith(("gen-", ".next-")) and f.getPath().getName() not in live]
+        for d in dead:
+            self._fs.delete(d, True)
+        return len(dead)

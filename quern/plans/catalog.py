@@ -641,6 +641,26 @@ def p4_found(s, d):
     return _orphans(s, d).select("child_table", "child_id", "load_month").distinct()
 
 
+@query(f"with {ORPHAN} select distinct child_table, child_id, load_month from o")
+def p4_ledger(s, d):
+    """The same orphans from kept counts: the tables arrive as deltas of three
+    periods, children before parents, and one batch comes twice."""
+    c = table(s, d, "code_chunks").select("version", "id", "deleted_at", "loaded_at")
+    sym = table(s, d, "symbols").select("version", "id", "chunk_id", "loaded_at")
+    vec = table(s, d, "vec_code").select("version", "chunk_id", "loaded_at")
+    lo, hi = c.agg(F.min(F.unix_timestamp("loaded_at")), F.max(F.unix_timestamp("loaded_at"))).first()
+    step = ((hi or 0) - (lo or 0)) / 3 + 1
+    period = F.greatest(F.lit(0), F.least(F.lit(2), F.coalesce(F.floor((F.unix_timestamp("loaded_at") - F.lit(lo or 0)) / F.lit(step)), F.lit(0))))
+    ledger = references.ReferenceLedger(s, fresh_path(s, "ledger"))
+    for n in range(3):
+        at = lambda df: df.where(period == n)  # noqa: B023,E731
+        ledger.apply(f"children-{n}", references.reference_deltas(at(sym)), references.reference_deltas(at(vec)))
+        ledger.apply(f"parents-{n}", references.existence_deltas(at(c)))
+        ledger.apply(f"children-{n}", references.reference_deltas(at(sym)))
+    rows = references.child_rows(sym, "symbols", "id").unionByName(references.child_rows(vec, "vec_code", "chunk_id"))
+    return references.orphans(rows, references.orphan_keys(ledger.counts())).select("child_table", "child_id", "load_month").distinct()
+
+
 @query(f"with {ORPHAN} select child_table, load_month, count(distinct child_id)::bigint as orphans, count(distinct (version, chunk_id))::bigint as missing_keys from o group by all")
 def p4_report(s, d):
     return _orphans(s, d).groupBy("child_table", "load_month").agg(F.countDistinct("child_id").alias("orphans"), F.countDistinct(F.struct("version", "key")).alias("missing_keys"))
@@ -651,3 +671,18 @@ def p4_report(s, d):
 )
 def p6_found(s, d):
     return increments.IncrementalRun(s, fresh_path(s, "increment")).run(table(s, d, "walk"), table(s, d, "file_manifest"), table(s, d, "build_runs"))
+
+
+@query(SQL["p6_found"])
+def p6_rerun(s, d):
+    """The same files after a first run on the log as it was before the later
+    half of the runs, a run that failed before its commit, and another one."""
+    walk, log, runs = (table(s, d, t) for t in ("walk", "file_manifest", "build_runs"))
+    half = runs.agg(F.percentile_approx("run_id", 0.5)).first()[0] or 0
+    job = increments.IncrementalRun(s, fresh_path(s, "increment"))
+    job.run(walk, log.where(F.col("run_id") <= half), runs)
+    try:
+        job.run(walk, log, runs, fail_before_commit=True)
+    except RuntimeError:
+        pass
+    return job.run(walk, log, runs)

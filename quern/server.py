@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Callable
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import text as X
+from quern import __version__
 from quern.functions import vectors as V
 from quern.operators import retrieval, symbols
 from quern.operators.embedding import hash_vectors, onnx_vectors
@@ -19,8 +20,8 @@ from quern.operators.scope import ScopeError, Session
 class Engine:
     """Searches over tables of all versions, within the session's scope."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], active: list[str], model: str | None = None):
-        self.spark, self.tables, self.session, self.model = spark, tables, Session(active), model
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], active: list[str], model: str | None = None, listing: Callable[[], list[dict]] | None = None):
+        self.spark, self.tables, self.session, self.model, self.listing = spark, tables, Session(active), model, listing
 
     def _vector(self, text: str) -> list[float]:
         return (onnx_vectors(self.model, [text]) if self.model else hash_vectors([text]))[0].tolist()
@@ -53,7 +54,9 @@ class Engine:
         return {"symbols": [json.loads(x) for x in rows.toJSON().collect()]} | self.session.meta()
 
     def list_databases(self) -> dict:
-        return {"databases": [{"version": v, "selected": v in self.session.versions()} for v in self.session.active]}
+        """The active versions, with size and date where the engine knows them."""
+        known = {r["version"]: r for r in self.listing()} if self.listing else {}
+        return {"databases": [{"version": v, "selected": v in self.session.versions()} | ({"exists": v in known} | {k: x for k, x in known.get(v, {}).items() if k != "active"} if self.listing else {}) for v in self.session.active]}
 
     def set_active_databases(self, versions: list[str]) -> dict:
         return {"active": self.session.choose(versions)}
@@ -77,7 +80,7 @@ def handle(engine: Engine, request: dict) -> dict | None:
     error = lambda code, text: {"jsonrpc": "2.0", "id": request["id"], "error": {"code": code, "message": text}}
     method, p = request.get("method"), request.get("params") or {}
     if method == "initialize":
-        result = {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "quern", "version": "0.1.0"}}
+        result = {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "quern", "version": __version__}}
     elif method == "tools/list":
         result = {"tools": [{"name": n, "inputSchema": {"type": "object", "properties": props, "required": need}} for n, (props, need) in TOOLS.items()]}
     elif method == "tools/call":
@@ -85,8 +88,10 @@ def handle(engine: Engine, request: dict) -> dict | None:
             return error(-32601, f"unknown tool: {p.get('name')}")
         try:
             result = {"content": [{"type": "text", "text": json.dumps(getattr(engine, p["name"])(**(p.get("arguments") or {})))}]}
-        except (ScopeError, TypeError, ValueError) as e:
-            return error(-32603, str(e))
+        except Exception as e:  # noqa: BLE001  (whatever a tool meets, the server goes on)
+            if not isinstance(e, (ScopeError, TypeError, ValueError)):
+                print(f"{p['name']}: {type(e).__name__}: {e}", file=sys.stderr)
+            return error(-32603, str(e).split("\n", 1)[0])
     else:
         return error(-32601, f"unknown method: {method}")
     return {"jsonrpc": "2.0", "id": request["id"], "result": result}
@@ -96,7 +101,8 @@ def serve(engine: Engine, lines: TextIO = sys.stdin, out: TextIO = sys.stdout) -
     for line in lines:
         if line.strip():
             try:
-                reply = handle(engine, json.loads(line))
+                request = json.loads(line)
+                reply = handle(engine, request) if isinstance(request, dict) else None
             except json.JSONDecodeError as e:
                 print(f"parse error: {e}", file=sys.stderr)
                 continue

@@ -42,14 +42,18 @@ def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     n = max(1, min(len(pairs), spark.sparkContext.defaultParallelism * 4))
     rows = spark.createDataFrame(pairs, "path string, folder boolean").repartition(n).mapInPandas(listed, "rel_path string, path string, mtime double, length bigint")
     rows = rows.select(F.lit(base).alias("input_root"), "*", R.kind(F.col("path")).alias("kind"), R.language(F.col("path")).alias("language")).where("kind is not null")
-    if not content:
-        return rows
+    return read_content(rows) if content else rows
+
+
+def read_content(rows: DataFrame) -> DataFrame:
+    """Adds the bytes of the files (input_root, path), one file in memory at a
+    time."""
 
     def read(batches):
-        system, _ = _open(base)
         for pdf in batches:
-            for at in range(len(pdf)):  # one file in memory at a time
+            for at in range(len(pdf)):
                 one = pdf.iloc[at : at + 1].copy()
+                system, _ = _open(one["input_root"].iloc[0])
                 with system.open_input_stream(one["path"].iloc[0]) as f:
                     one["content"] = [f.read()]
                 yield one
@@ -63,9 +67,11 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def distribution_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, sha256, size) of every file of a snapshot."""
+    """(file, sha256, size) of every file of a snapshot, by its path below the
+    folder."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return df.select(F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    top = folder.rstrip("/").split("://", 1)[-1].removeprefix("file:")
+    return df.select(F.ltrim(F.substring_index("path", top, -1), F.lit("/")).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
 def roots_hash(paths: Column) -> Column:

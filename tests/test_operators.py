@@ -167,6 +167,24 @@ def test_ledger_applies_a_batch_once(spark, tmp_path):
     assert led.apply("a", d) and not led.apply("a", d)
     assert led.apply("b", references.existence_deltas(chunks(spark, [("v", 1, None)])))
     assert rows(led.counts()) == [("v", 1, 1, 1)]
+    assert led.apply("s-0", d) and led.apply("s-1", d) and not led.apply("s-0", d) and rows(led.counts()) == [("v", 1, 3, 1)]
+    assert led.vacuum() > 0 and rows(led.counts()) == [("v", 1, 3, 1)]
+
+
+def test_a_failed_publication_leaves_the_ledger_as_it_was(spark, tmp_path):
+    led = references.ReferenceLedger(spark, str(tmp_path / "ledger"))
+    d = lambda k: references.reference_deltas(spark.createDataFrame([("v", k)], "version string, chunk_id long"))
+    led.apply("s-1", d(1))
+    whole = led._publish
+    led._publish = lambda *a: (_ for _ in ()).throw(OSError("rename failed"))
+    with pytest.raises(OSError):
+        led.apply("s-2", d(2))
+    assert rows(led.counts()) == [("v", 1, 1, 0)]
+    led._publish = whole
+    assert led.apply("s-2", d(2)) and not led.apply("s-2", d(2))
+    assert rows(led.counts()) == [("v", 1, 1, 0), ("v", 2, 1, 0)]
+    with pytest.raises(OSError):  # a number that another writer took
+        led._publish(str(tmp_path / "ledger" / "x"), 2)
 
 
 def manifest(spark, r):
@@ -186,13 +204,13 @@ def test_incremental_run_survives_a_failure_and_redoes_only_changes(spark, tmp_p
     with pytest.raises(RuntimeError):
         job.run(w, m, runs, fail_before_commit=True)
     assert rows(job.run(w, m, runs)) == want
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "job" / "out").rglob("*.parquet")}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "job" / "out-1").rglob("*.parquet")}
     assert rows(job.run(w, m, runs)) == want
-    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "job" / "out").rglob("*.parquet")}  # nothing rewritten
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "job" / "out-1").rglob("*.parquet")}  # nothing rewritten
     m2 = m.unionByName(manifest(spark, [("u", "r", "d", "dd", 4, T)]))
     runs2 = runs.unionByName(spark.createDataFrame([(4, "ok")], runs.schema))
     assert rows(job.run(w, m2, runs2)) == want[1:]
-    after = {p for p in (tmp_path / "job" / "out").rglob("*.parquet")}
+    after = {p for p in (tmp_path / "job" / "out-1").rglob("*.parquet")}
     assert {p for p in before if "version=v" in str(p)} <= after  # the other version's partitions stayed
     assert rows(job.run(w.where("version = 'u'"), m2, runs2)) == []  # a version that vanished is emptied
 
@@ -204,6 +222,17 @@ def test_incremental_run_on_empty_inputs(spark, tmp_path):
     assert rows(job.run(walk(spark, [("v", "r", "a", "x")]), manifest(spark, []), runs)) == [("v", "r", "a")]
 
 
+def test_buckets_grow_with_the_largest_version(spark, tmp_path):
+    runs = spark.createDataFrame([(1, "ok")], "run_id long, run_status string")
+    job = increments.IncrementalRun(spark, str(tmp_path / "job"), rows_per_bucket=4)
+    small, large = ([("v", "r", f"f{i}", "x") for i in range(n)] for n in (3, 30))
+    assert job.run(walk(spark, small), manifest(spark, []), runs).count() == 3
+    with pytest.raises(RuntimeError):
+        job.run(walk(spark, large), manifest(spark, []), runs, fail_before_commit=True)
+    assert job.result().count() == 3
+    assert job.run(walk(spark, large), manifest(spark, []), runs).count() == 30 and (tmp_path / "job" / "out-8").exists()
+
+
 def test_fingerprint_ignores_order_and_sees_repeats(spark):
     df = spark.createDataFrame([("v", 0, "a"), ("v", 0, "b")], "version string, bucket int, x string")
     f = lambda d: rows(increments.fingerprints(d, "s"))

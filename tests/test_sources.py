@@ -80,10 +80,62 @@ def test_remotes(spark, tmp_path):
 
 def test_release_backend_parses_its_client():
     b = snapshots.ReleaseBackend("https://github.com/a/b.git", "hub")
-    b.run = lambda *args: json.dumps([{"tag_name": "v1", "assets": [{"size": 3}, {"size": 4}], "published_at": "2025-01-01T00:00:00Z"}]) if args[1] == "repos/a/b/releases" else ""
+    b.run = lambda *args: json.dumps([{"tag_name": "v1", "assets": [{"size": 3}, {"size": 4}], "published_at": "2025-01-01T00:00:00Z"}]) if args[-1] == "repos/a/b/releases" else ""
     assert b.versions() == [{"name": "v1", "remote": "hub", "size_bytes": 7, "updated_at": "2025-01-01T00:00:00Z"}]
 
 
+def test_addresses_and_folders():
+    hosts = ("github.com", "www.github.com")
+    assert {snapshots.address(u, hosts) for u in ("https://github.com/a/b", "github.com/a/b/", "a/b", "ssh://git@github.com/a/b")} == {"a/b"}
+    with pytest.raises(ValueError):
+        snapshots.address("https://example.org/a/b", hosts)
+    assert snapshots.below(["r/s/v2/x", "r/s/v1/t/y", "r/s/file", "q/v3/z"], "r/s") == ["v1", "v2"]
+
+
+def test_release_round_trip_checks_its_files(tmp_path):
+    import shutil
+
+    far, src = tmp_path / "far", tmp_path / "src" / "symbols"
+    far.mkdir()
+    src.mkdir(parents=True)
+    (src / "a.parquet").write_text("x")
+    b = snapshots.ReleaseBackend("a/b", "hub")
+
+    def run(*args):
+        if args[:2] == ("release", "create"):
+            [shutil.copy(f, far) for f in args[5:7]]
+        if args[:2] == ("release", "download"):
+            [shutil.copy(f, args[args.index("--dir") + 1]) for f in far.iterdir()]
+        return ""
+
+    b.run = run
+    b.push("v1", src.parent)
+    b.download("v1", tmp_path / "got")
+    assert (tmp_path / "got" / "symbols" / "a.parquet").read_text() == "x"
+    (far / "checksums.json").write_text("{}")
+    with pytest.raises(ValueError):
+        b.download("v1", tmp_path / "bad")
+    assert not (tmp_path / "bad").exists()
+
+
+def test_git_transport_tracks_tables_and_commits_only_changes(tmp_path):
+    b, calls = snapshots.GitBackend("url", "git"), []
+
+    def run(*args):
+        calls.append(args)
+        if args[0] == "clone":
+            (tmp_path / "w").mkdir(exist_ok=True)
+            __import__("pathlib").Path(args[-1]).mkdir()
+        return ""
+
+    b.run = run
+    (tmp_path / "src").mkdir()
+    b.push("v1", tmp_path / "src")
+    assert any(a[2:4] == ("lfs", "track") for a in calls) and not any("push" in a for a in calls)
+    with pytest.raises(FileNotFoundError):
+        b.delete("v9")
+
+
 @pytest.fixture
 def engine(spark):
     texts = ["enable the ecc unit", "reset the dma engine", "read the sensor"]
@@ -104,6 +156,8 @@ def test_server(engine):
     assert [s["name"] for s in ask("list_symbols")["symbols"]] == ["dma_reset"]
     assert server.handle(engine, {"id": 2, "method": "tools/call", "params": {"name": "set_active_databases", "arguments": {"versions": []}}})["error"]["code"] == -32603
     assert server.handle(engine, {"id": 3, "method": "nope"})["error"]["code"] == -32601
+    engine.tables["symbols"] = engine.tables["symbols"].drop("name")
+    assert server.handle(engine, {"id": 9, "method": "tools/call", "params": {"name": "list_symbols"}})["error"]["code"] == -32603  # and it goes on
     out = io.StringIO()
     server.serve(engine, io.StringIO('\n{"method": "note"}\nnot json\n{"id": 4, "method": "tools/list"}\n'), out)
     assert len(out.getvalue().splitlines()) == 1
