@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import leakage, neardup, packing, pieces, provenance, similar, truncation
-from quern.session import table, written
+from quern.session import fresh_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,6 +90,38 @@ def p3_pieces(s, d):
     return _pieces(s, d, True)
 
 
+TEXTS = """x as (select distinct 'code_chunks' as item_table, id as item_id, code_text as t from code_chunks where id is not null union select distinct 'doc_sections', section_id, content from doc_sections where section_id is not null),
+n as (select item_table, item_id, len(regexp_extract_all(t, '[^{}]+')) as n from x)""".format(WS)
+
+
+@query(
+    f"""with {TEXTS} select item_table, item_id, greatest(1, ceil((n - 513) / 384.0))::bigint + 1 as pieces, n::bigint as tokens, true as fits from n where n > 512"""
+)
+def p3_totals(s, d):
+    """Pieces of each text, its tokens without the repeated ones, and whether
+    every piece is within the limit."""
+    p = _pieces(s, d, False).groupBy("item_table", "item_id", "content_hash").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("sum"), F.max("tokens").alias("most"))
+    return p.select("item_table", "item_id", "pieces", (F.col("sum") - pieces.OVERLAP * (F.col("pieces") - 1)).alias("tokens"), (F.col("most") <= pieces.LIMIT).alias("fits"))
+
+
+@query(
+    f"""with {TEXTS} select item_table, item_id, greatest(1, ceil((n - 513) / 384.0))::bigint + 1 as pieces, n::bigint as tokens from n where n > 512"""
+)
+def p3_files(s, d):
+    """The same from files: texts that may be too long are written out, a file
+    each, and split by byte ranges of files that no task reads whole."""
+    code = table(s, d, "code_chunks").select(F.lit("code_chunks").alias("item_table"), F.col("id").alias("item_id"), F.col("code_text").alias("text"))
+    doc = table(s, d, "doc_sections").select(F.lit("doc_sections").alias("item_table"), F.col("section_id").alias("item_id"), F.col("content").alias("text"))
+    long = code.unionByName(doc).where(F.col("item_id").isNotNull() & (F.length("text") >= 2 * pieces.LIMIT + 1)).dropDuplicates()
+    folder = fresh_path(s, "texts")
+    done = written(pieces.write_files(long.withColumn("name", F.concat_ws("-", "item_table", "item_id", F.hex(F.xxhash64("text")))), folder), "files")
+    if done.isEmpty():
+        return s.createDataFrame([], "item_table string, item_id bigint, pieces bigint, tokens bigint")
+    p = pieces.split_files(s, folder, size_of_range=4096, with_text=False).groupBy("path").agg(F.count(F.lit(1)).alias("pieces"), (F.sum("tokens") - pieces.OVERLAP * (F.count(F.lit(1)) - 1)).alias("tokens"))
+    name = F.split(F.substring_index("path", "/", -1), "-")
+    return p.select(name[0].alias("item_table"), name[1].cast("bigint").alias("item_id"), "pieces", "tokens")
+
+
 # ---- 5: similar vectors
 
 

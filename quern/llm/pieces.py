@@ -7,7 +7,9 @@ The k-th cut lies in a fixed window of token numbers, so a range finds the cuts
 of its own windows alone, with a halo on either side: the strongest boundary
 wins (blank line, line, sentence, any token), the later one on ties.  (4) Cuts
 are stitched to pieces by number and emitted by offset.  No step reads an item
-as a whole or goes through it in sequence.
+as a whole or goes through it in sequence.  Tokens are found in bytes, by the
+encodings of the whitespace characters, so that offsets are exact whatever the
+bytes are; bytes that are no UTF-8 belong to tokens and are replaced in texts.
 
 A window of 64 numbers every 384 keeps two neighbouring cuts at most 447 tokens
 apart, so a piece with its 64 repeated tokens has at most 511.
@@ -18,18 +20,22 @@ Repeated rows give one set of pieces; two contents under one id give both.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP, SLACK = 512, 64, 64
 RANGE, HALO = 1 << 20, 1 << 14
-TOKEN = re.compile(r"\S+")
+FILE_RANGE = 16 << 20
 Read = Callable[[int, int], bytes]
 
+# Whitespace of one byte, and UTF-8 encodings of the other whitespace characters.
+PLAIN = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *(b"\xe2\x80" + bytes([x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
 PIECES = "item_table string, item_id bigint, chunk_index int, core_start bigint, byte_start bigint, byte_end bigint, tokens int, text string, content_hash bigint"
 
 
@@ -52,43 +58,49 @@ class Grid:
         return b - self.slack + 1, min(b, total - 1)
 
 
-def strength(gap: str, before: str) -> int:
-    if "\n" in gap:
-        return 3 if gap.count("\n") > 1 else 2
-    return 1 if before[-1] in ".!?;:})]" else 0
+def strength(gap: bytes, last: int) -> int:
+    lines = gap.count(b"\n")
+    return min(3, 1 + lines) if lines else int(last in b".!?;:})]")
 
 
 def char_start(read: Read, at: int, size: int) -> int:
-    """The first character that starts at or after a byte."""
-    while 0 < at < size and read(at, at + 1)[0] & 0xC0 == 0x80:
-        at += 1
-    return min(at, size)
-
-
-def _tokens(read: Read, a: int, b: int, size: int) -> tuple[str, list[int], list[int], list[int]]:
-    """Text of [a, b), and of its tokens byte starts, char starts, char ends;
-    a token cut by `a` is left out, one cut by `b` is kept."""
-    text = read(a, b).decode("utf-8", errors="replace")
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    if a > 0 and spans and spans[0][0] == 0:
-        left = read(max(0, a - 4), a).decode("utf-8", errors="ignore")
-        if left and not left[-1].isspace():
-            spans = spans[1:]
-    cs, ce = [s for s, _ in spans], [e for _, e in spans]
-    if len(text) == b - a:
-        return text, [a + c for c in cs], cs, ce
-    bs, at, last = [], a, 0
-    for c in cs:
-        at += len(text[last:c].encode("utf-8"))
-        last = c
-        bs.append(at)
-    return text, bs, cs, ce
+    """The first byte at or after `at` that starts a character; after three
+    that do not there is none, and no whitespace reaches as far."""
+    if not 0 < at < size:
+        return min(at, size)
+    few = read(at, min(at + 3, size))
+    return at + next((i for i, x in enumerate(few) if x & 0xC0 != 0x80), len(few))
+
+
+def spaces(b: np.ndarray) -> np.ndarray:
+    """Which bytes belong to whitespace characters."""
+    m = PLAIN[b]
+    if len(b) and b.max() >= 0x80:
+        for code in WIDE:
+            at = np.flatnonzero(b[: max(0, len(b) - len(code) + 1)] == code[0])
+            for i in range(1, len(code)):
+                at = at[b[at + i] == code[i]]
+            for i in range(len(code)):
+                m[at + i] = True
+    return m
+
+
+def _tokens(read: Read, a: int, b: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Bytes [a, b), and the starts and ends of its tokens within them; a token
+    cut by `a` is left out, one cut by `b` is kept."""
+    data = read(a, b)
+    inside = np.concatenate(([False], ~spaces(np.frombuffer(data, dtype=np.uint8)), [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    if a > 0 and len(starts) and starts[0] == 0 and not spaces(np.frombuffer(read(max(0, a - 3), a), dtype=np.uint8))[-1]:
+        starts, ends = starts[1:], ends[1:]
+    return data, starts, ends
 
 
 def count(read: Read, s: int, e: int, size: int) -> int:
     """Step 1: tokens that start in the range [s, e)."""
     s, e = char_start(read, s, size), char_start(read, e, size)
-    return len(_tokens(read, s, e, size)[1]) if s < e else 0
+    return len(_tokens(read, s, e)[1]) if s < e else 0
 
 
 def cuts(read: Read, s: int, e: int, size: int, first: int, total: int, grid: Grid) -> list[tuple[int, int, int, int, int]]:
@@ -109,18 +121,17 @@ def cuts(read: Read, s: int, e: int, size: int, first: int, total: int, grid: Gr
     halo = HALO
     while True:  # widen the halo until it holds every token that is asked for
         a, b = char_start(read, max(0, s - halo), size), char_start(read, min(size, e + halo), size)
-        text, bs, cs, ce = _tokens(read, a, b, size)
-        before = sum(x < s for x in bs) if a else None
-        base = 0 if before is None else first - before
-        if (a == 0 or base <= lo) and (b == size or base + len(bs) > hi + 1):
+        data, starts, ends = _tokens(read, a, b)
+        base = first - int(np.searchsorted(starts + a, s)) if a else 0
+        if (a == 0 or base <= lo) and (b == size or base + len(starts) > hi + 1):
             break
         halo *= 4
     out = []
     for k in want:
         x, y = grid.window(k, total)
-        best = max(range(x, y + 1), key=lambda t: (strength(text[ce[t - base - 1] : cs[t - base]], text[cs[t - base - 1] : ce[t - base - 1]]), t))
+        best = max(range(x, y + 1), key=lambda t: (strength(data[ends[t - base - 1] : starts[t - base]], data[ends[t - base - 1] - 1]), t))
         r = max(0, best - grid.overlap)
-        out.append((k, bs[best - base], bs[r - base], best, r))
+        out.append((k, a + int(starts[best - base]), a + int(starts[r - base]), best, r))
     return out
 
 
@@ -155,7 +166,7 @@ def split_table(df: DataFrame, name: str, ident: str, text: str, grid: Grid | No
             for i, t, h in zip(pdf["item_id"], pdf["text"], pdf["content_hash"]):
                 data = t.encode("utf-8", errors="replace")
                 for k, c, s, e, n in pieces_of(data, grid):
-                    out.append((name, i, k, c, s, e, n, data[s:e].decode("utf-8") if with_text else None, h))
+                    out.append((name, i, k, c, s, e, n, data[s:e].decode("utf-8", errors="replace") if with_text else None, h))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
 
     made = rows.mapInPandas(run, PIECES)
@@ -165,7 +176,7 @@ def split_table(df: DataFrame, name: str, ident: str, text: str, grid: Grid | No
 # ---- files, each range by whatever task gets it
 
 
-def _reader(path: str):
+def _reader(path: str) -> Read:
     from pyarrow import fs
 
     system, p = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
@@ -178,7 +189,45 @@ def _reader(path: str):
     return read
 
 
-def split_files(spark: SparkSession, folder: str, grid: Grid | None = None, size_of_range: int = 64 << 20, with_text: bool = True) -> DataFrame:
+class _Files:
+    """Readers that keep one file open and the last stretch read from it."""
+
+    def __init__(self, ahead: int = 4 << 20):
+        self.path, self.ahead = None, ahead
+
+    def of(self, path: str) -> Read:
+        if path != self.path:
+            self.path, self.raw, self.lo, self.data = path, _reader(path), 0, b""
+        return self.read
+
+    def read(self, a: int, b: int) -> bytes:
+        if not self.lo <= a <= b <= self.lo + len(self.data):
+            if b - a > self.ahead:
+                return self.raw(a, b)
+            self.lo, self.data = a, self.raw(a, a + self.ahead)
+        return self.data[a - self.lo : b - self.lo]
+
+
+def write_files(texts: DataFrame, folder: str) -> DataFrame:
+    """Write each (name, text) as a file of the folder; returns the names.  A
+    repeated task writes the same files again."""
+    uri = folder if "://" in folder or folder.startswith("file:") else "file://" + folder
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(uri)
+        system.create_dir(top, recursive=True)
+        for pdf in batches:
+            for name, text in zip(pdf["name"], pdf["text"]):
+                with system.open_output_stream(f"{top}/{name}") as f:
+                    f.write(text.encode("utf-8", errors="replace"))
+            yield pdf[["name"]]
+
+    return texts.select("name", "text").mapInPandas(run, "name string")
+
+
+def split_files(spark: SparkSession, folder: str, grid: Grid | None = None, size_of_range: int = FILE_RANGE, with_text: bool = True) -> DataFrame:
     """(path, chunk_index, core_start, byte_start, byte_end, tokens, text) of
     the files below a folder.  Only ranges with halos are ever read; the one
     ordered step is the prefix sum over one row per range."""
@@ -189,7 +238,8 @@ def split_files(spark: SparkSession, folder: str, grid: Grid | None = None, size
 
     def step1(batches):
         for pdf in batches:
-            pdf["n"] = [count(_reader(p), s, e, z) for p, s, e, z in zip(pdf["path"], pdf["s"], pdf["e"], pdf["size"])]
+            files = _Files()
+            pdf["n"] = [count(files.of(p), s, e, z) for p, s, e, z in zip(pdf["path"], pdf["s"], pdf["e"], pdf["size"])]
             yield pdf
 
     counted = ranges.mapInPandas(step1, "path string, size bigint, s bigint, e bigint, n bigint")
@@ -198,9 +248,9 @@ def split_files(spark: SparkSession, folder: str, grid: Grid | None = None, size
 
     def step3(batches):
         for pdf in batches:
-            out = []
+            out, files = [], _Files()
             for p, z, s, e, f, t in zip(pdf["path"], pdf["size"], pdf["s"], pdf["e"], pdf["first"], pdf["total"]):
-                for k, c, r, ct, rt in cuts(_reader(p), s, e, z, f, t, grid):
+                for k, c, r, ct, rt in cuts(files.of(p), s, e, z, f, t, grid):
                     out += [(p, k - 1, None, None, c, None, ct), (p, k, c, r, None, rt, None)]
                 if s == 0:
                     out.append((p, 0, 0, 0, None, 0, None))
@@ -215,7 +265,10 @@ def split_files(spark: SparkSession, folder: str, grid: Grid | None = None, size
 
     def emit(batches):
         for pdf in batches:
-            pdf["text"] = [_reader(p)(a, b).decode("utf-8", errors="replace") for p, a, b in zip(pdf["path"], pdf["byte_start"], pdf["byte_end"])]
+            files = _Files()
+            pdf["text"] = [files.of(p)(a, b).decode("utf-8", errors="replace") for p, a, b in zip(pdf["path"], pdf["byte_start"], pdf["byte_end"])]
             yield pdf
 
-    return whole.mapInPandas(emit, "path string, chunk_index int, core_start bigint, byte_start bigint, byte_end bigint, tokens int, text string")
+    # neighbouring pieces together and in order: a stretch of a file is read once
+    near = whole.withColumn("_at", F.floor(F.col("byte_start") / size_of_range)).repartition("path", "_at").sortWithinPartitions("path", "byte_start").drop("_at")
+    return near.mapInPandas(emit, "path string, chunk_index int, core_start bigint, byte_start bigint, byte_end bigint, tokens int, text string")

@@ -12,8 +12,11 @@ queries of such a cell go to all of them.  Equal vectors are one row (by a
 64-bit hash of their values) and are expanded to ids at the end, at most k + 1
 of a class being of use to anyone.
 
-The quantiser is fitted on a sample of about `SAMPLE` vectors; every vector is
-indexed and every vector is a query.
+The quantiser is fitted on a sample of about `PER_CELL` vectors a cell, `SAMPLE`
+at least; every vector is indexed and every vector is a query.  One rule gives
+the number of cells at every size, and a vector that finds fewer than k others
+in the cells it probes is compared exactly with the whole collection, in blocks
+of such vectors.
 
 Unusable vectors (null, other length, not finite, all zero) and null ids take
 no part.  Repeated ids count once; if their vectors differ, the one of the
@@ -22,7 +25,9 @@ lower hash counts.  Ties go to the lower hash.  Empty tables give empty results.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +37,21 @@ from pyspark.sql import functions as F
 from quern.llm.quantiser import Quantiser, nearest
 from quern.session import written
 
-SAMPLE, PART, LIST = 8192, 8192, 128
+SAMPLE, PER_CELL, PART, LIST = 8192, 32, 8192, 128
+CELLS, OCCUPANCY = 4096, 128  # most cells; vectors a cell holds on average, at least
+BLOCK = 4096  # vectors compared with the whole collection at once
 BOOKS, BEAM = 5, 4
 PROBES, MARGIN = 4, 0.02  # cells within the margin of the best are probed,
 ENOUGH = 48  # and further ones until so many vectors are expected in them
-SMALL = 1024  # up to so many vectors one cell holds all: the search is exact
 
-_made: dict[int, Quantiser] = {}
+_made: dict[str, Quantiser] = {}
 
 
 def cells_for(n: int) -> int:
-    """About the square root of the collection, a power of two up to 16384."""
-    return 1 if n <= SMALL else int(min(16384, max(4, 2 ** round(np.log2(max(1.0, n) ** 0.5)))))
+    """About the square root of the collection, a power of two, and so few
+    that `OCCUPANCY` vectors fall into each."""
+    most = min(CELLS, n**0.5, n / OCCUPANCY)
+    return 1 << int(np.log2(most)) if most >= 1 else 1
 
 
 def usable(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +153,11 @@ class Neighbours:
     (chunk_id, h), the class of every id."""
 
     def __init__(self, vectors: DataFrame, ident: str, vector: str, dim: int, k: int = 5, seed: int = 7, sample: int = SAMPLE, part: int = PART, size: int = LIST):
-        self.k = k
+        self.k, self.incomplete = k, 0
         spark = vectors.sparkSession
         rows = vectors.select(F.col(ident).cast("bigint").alias("chunk_id"), F.col(vector).cast("array<float>").alias("e"))
-        share = min(1.0, sample / max(1, rows.count()))
+        n = rows.count()
+        share = min(1.0, max(sample, PER_CELL * cells_for(n)) / max(1, n))
         limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,11 +185,11 @@ class Neighbours:
             return
         x = np.frombuffer(b"".join(r["v"] for r in fitted), dtype=np.float32).reshape(-1, dim)
         n = self.members.select("h").distinct().count()
-        quant = Quantiser.train(x, min(cells_for(n), max(1, len(x) // 2)), BOOKS, rounds=6, seed=seed)
+        quant = Quantiser.train(x, cells_for(n), BOOKS, rounds=6, seed=seed)
         sizes = np.bincount(nearest(x, quant.coarse)[:, 0], minlength=quant.cells) * (n / len(x))
         plan = Layout(quant.coarse, sizes, part)
         sent = spark.sparkContext.broadcast((quant.c, quant.cells, quant.books, plan.first, plan.blocks, sizes))  # bounded by the parameters
-        key = id(sent)
+        key = uuid.uuid4().hex
 
         def made() -> Quantiser:
             if key not in _made:
@@ -204,7 +213,7 @@ class Neighbours:
                 code = quant.encode(x, BEAM)
                 r = quant.decode(code)
                 norm = np.maximum(np.sqrt((r * r).sum(axis=1)), 1e-6)
-                raw = [v.tobytes() for v in x]
+                raw = ([v.tobytes() for v in x], [v.tobytes() for v in x.astype(np.float16)])  # rows as they are, queries in half precision
                 part, role, who = [own], [np.zeros(len(x), dtype=np.int8)], [np.arange(len(x))]
                 for slot in range(cells.shape[1]):
                     for blk in range(int(blocks[cells[:, slot]].max())):
@@ -219,7 +228,7 @@ class Neighbours:
                 extra = [code[i].astype(np.int32).tobytes() if t == 0 else None for i, t in zip(who, role)]
                 cell0 = np.where(role == 0, cells[who, 0], -1)
                 yield pa.record_batch(
-                    [pa.array(part), pa.array(role), pa.array(h[who]), pa.array(cell0, pa.int32()), pa.array(norm[who], pa.float32()), pa.array(extra, pa.binary()), pa.array([raw[i] for i in who], pa.binary())],
+                    [pa.array(part), pa.array(role), pa.array(h[who]), pa.array(cell0, pa.int32()), pa.array(norm[who], pa.float32()), pa.array(extra, pa.binary()), pa.array([raw[t][i] for i, t in zip(who, role)], pa.binary())],
                     names=["part", "role", "h", "cell", "norm", "code", "v"],
                 )
 
@@ -263,7 +272,7 @@ class Neighbours:
                 edge = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (role[1:] != role[:-1]))))
                 for a, z in zip(edge, [*edge[1:], len(part)]):
                     cut = b.slice(a, z - a)
-                    h, v = cut.column("h").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(cut.column("v").to_pylist()), dtype=np.float32).reshape(-1, dim)
+                    h, v = cut.column("h").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(cut.column("v").to_pylist()), dtype=np.float16 if role[a] else np.float32).reshape(-1, dim)
                     if part[a] != now:
                         if pending:
                             yield from rows_answer()
@@ -275,13 +284,64 @@ class Neighbours:
                         if pending:
                             yield from rows_answer()
                         if base is not None:
-                            yield from answer(v, h)
+                            yield from answer(v.astype(np.float32), h)
             if pending:
                 yield from rows_answer()
 
-        found = messages.repartition(max(plan.parts, 1), "part").sortWithinPartitions("part", "role").mapInArrow(search, "q bigint, c bigint, cosine float")
+        found = messages.repartitionById(max(plan.parts, 1), F.col("part").cast("int")).sortWithinPartitions("part", "role").mapInArrow(search, "q bigint, c bigint, cosine float")
         w = Window.partitionBy("q").orderBy(F.desc("cosine"), F.asc("c"))
         self.links = written(found.distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n"), "neighbours")
+        if n > 1:
+            self._complete(rows, dim, min(k, n - 1), dead if conflicts else None)
+
+    def _complete(self, rows: DataFrame, dim: int, k: int, dead: DataFrame | None) -> None:
+        """Exact neighbours of the vectors that have fewer than k so far."""
+        counts = self.links.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+        few = self.members.select(F.col("h").alias("q")).distinct().join(counts.where(F.col("n") >= k), "q", "left_anti")
+        few = written(few, "few")
+        self.incomplete = few.count()
+        if not self.incomplete:
+            return
+        spark, w = rows.sparkSession, Window.partitionBy("q").orderBy(F.desc("cosine"), F.asc("c"))
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                _, x = usable(b, dim)
+                yield pa.record_batch([pa.array(hashes(x)), pa.array([v.tobytes() for v in x], pa.binary())], names=["q", "v"])
+
+        wanted = written(rows.mapInArrow(hashed, "q bigint, v binary").join(few, "q", "left_semi").dropDuplicates(["q"]), "wanted")
+        parts, block = [self.links.join(few, "q", "left_anti")], []
+
+        def against_all(block: list) -> DataFrame:
+            sent = spark.sparkContext.broadcast((np.array([r["q"] for r in block]), np.frombuffer(b"".join(r["v"] for r in block), dtype=np.float32).reshape(-1, dim)))  # at most BLOCK vectors
+
+            def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                qh, q = sent.value
+                for b in batches:
+                    _, x = usable(b, dim)
+                    if not len(x):
+                        continue
+                    h, once = np.unique(hashes(x), return_index=True)
+                    x = x[once]
+                    s = q @ x.T
+                    s[qh[:, None] == h[None, :]] = -np.inf
+                    top = np.argpartition(-s, min(k, len(h)) - 1, axis=1)[:, :k]
+                    e = np.take_along_axis(s, top, 1)
+                    i, j = np.nonzero(np.isfinite(e))
+                    yield pa.record_batch([pa.array(qh[i]), pa.array(h[top[i, j]]), pa.array(e[i, j], pa.float32())], names=["q", "c", "cosine"])
+
+            hits = rows.mapInArrow(scan, "q bigint, c bigint, cosine float").distinct()
+            hits = hits.join(dead.withColumnRenamed("h", "c"), "c", "left_anti").select("q", "c", "cosine") if dead is not None else hits
+            return written(hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= self.k).drop("_n"), "exact")
+
+        for r in wanted.toLocalIterator():
+            block.append(r)
+            if len(block) == BLOCK:
+                parts.append(against_all(block))
+                block = []
+        if block:
+            parts.append(against_all(block))
+        self.links = reduce(DataFrame.unionByName, parts)
 
     def lists(self) -> DataFrame:
         """(chunk_id, neighbour, rank) for ranks 1..k, copies expanded."""

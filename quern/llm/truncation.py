@@ -5,15 +5,16 @@ unit (characters, bytes) a log-normal length distribution is fitted by maximum
 likelihood, right-censored at each length that more different texts have than the fit and
 the lengths around it let expect, be their share ever so small; the
 censoring posterior of a value at such a limit is one minus the share that the
-fit itself puts there.  Away from limits a small prior for cut transfers holds.
+fit itself puts there.  Away from limits the share of cut transfers holds, which
+is estimated by EM from the endings of all texts.
 Endings: a logistic model of the end of a text, trained on the collection's own
 line and sentence ends against cuts at random places, gives the log-likelihood
 ratio of "unfinished"; open code fences, open table rows, broken characters and
 cut marks are its features.
 
-The model and the list of closing lines (sign-offs) are fitted on examples from
-about `SAMPLE` documents, at most `PER_DOC` of each; everything else covers all
-documents.
+The model is fitted on examples from about `SAMPLE` documents, at most `PER_DOC`
+of each; closing lines (sign-offs) are counted over all documents, as is
+everything else.
 
 Nulls: a null or blank text is not cut off; a null source is one source of its
 own.  Repeated ids are cut off if any of their texts is.  Empty tables give
@@ -22,7 +23,6 @@ empty results.
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 import zlib
@@ -37,12 +37,14 @@ from quern.session import written
 
 SAMPLE, PER_DOC = 4000, 24
 BITS = 18
-PRIOR, SURE = 0.15, 0.95  # weight of a cut away from any limit; most that a limit alone may claim
+SURE = 0.95  # most that a limit alone may claim
+PRIORS = (0.02, 0.3)  # bounds of the share of cuts away from limits; the middle of their logits where there are no texts
 LEAST_COUNT, CHANCE = 4, 1e-3  # texts at one length, and how likely so many may be without a limit, for a candidate
 NEAR, SPLIT = 32, 3  # lengths on either side that tell how many to expect; those next to a limit that characters split by it fall on
 TAIL = 240
 OPEN = 4.0  # least evidence of an open code block or table row
-CLOSING, LINES = 60, 32  # characters of a closing line; other lines looked at per sampled text
+CLOSING = 60  # characters of a closing line
+LEAST_TEXTS, LEAST_SHARE = 3, 1e-4  # texts, and share of all texts, that a closing line ends: at most 10,000 lines pass
 SIGNED = re.compile(r"-- \w+(?: \w+){0,3}$")  # a signature after the usual mark
 FILE = re.compile(r"\S*/\S+\.\w{1,5}$")
 
@@ -64,14 +66,15 @@ def _kind(line: str) -> str:
     return "quote" if s.startswith(">") else "text"
 
 
-def features(tail: str, fenced: bool, size: int) -> list[str]:
-    """Names of the features of a text's end; `size` is its whole length."""
+def features(tail: str, fenced: bool, size: int, opening: str = "") -> list[str]:
+    """Names of the features of a text's end; `size` is its whole length and
+    `opening` how its last line starts, if that lies before the tail."""
     marked = bool(MARK.search(tail))
     t = MARK.sub("", tail.rstrip()) if marked else tail.rstrip()
     broken = t.endswith("�")
     t = t.rstrip("�")
     line = t.rsplit("\n", 1)[-1]
-    kind = "code" if fenced else _kind(line)
+    kind = "code" if fenced else _kind(opening or line)
     w = [re.sub(r"\d", "0", x).lower() for x in RUN.findall(line)]
     last = t[-1:] or " "
     group = "a" if last.isalpha() else "0" if last.isdigit() else last
@@ -90,14 +93,24 @@ def slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
+def opening(text: str, end: int) -> str:
+    """The start of the line that text[:end] ends with, if it lies more than a
+    tail before; else ''."""
+    stop = end
+    while stop and text[stop - 1].isspace():
+        stop -= 1
+    at = text.rfind("\n", 0, stop) + 1
+    return text[at : at + 40] if at < end - TAIL else ""
+
+
 def _last_word(tail: str) -> str:
     t = MARK.sub("", tail.rstrip())
     m = re.search(r"[^\W\d_]+$", t)
     return m[0].lower() if m else ""
 
 
-def examples(text: str, key: int) -> list[tuple[str, bool, int, bool]]:
-    """(tail, fenced, length, unfinished) examples of one text.  Its own end
+def examples(text: str, key: int) -> list[tuple[str, bool, int, str, bool]]:
+    """(tail, fenced, length, opening, unfinished) examples of one text.  Its own end
     is never used, as it may be cut."""
     rng = np.random.default_rng(key & 0xFFFFFFFF)
     stop = text.rfind("\n", 0, max(len(text) - 1, 0))
@@ -108,13 +121,13 @@ def examples(text: str, key: int) -> list[tuple[str, bool, int, bool]]:
     out = []
     for e in rng.permutation(good)[: PER_DOC // 2]:
         t = text[max(0, e - TAIL) : e]
-        out.append((t.rstrip(".") if t.endswith(".") and rng.random() < 0.25 else t, False, int(e), False))
+        out.append((t.rstrip(".") if t.endswith(".") and rng.random() < 0.25 else t, False, int(e), opening(text, int(e)), False))
     known = set(ends)
     for e in rng.integers(1, max(2, len(text)), PER_DOC // 2):
         e = int(e)
         t = text[max(0, e - TAIL) : e]
         if e not in known and t.strip() and text[e : e + 1].strip() and (e - 1) not in known:
-            out.append((t, fenced(e), e, True))
+            out.append((t, fenced(e), e, opening(text, e), True))
     return out
 
 
@@ -123,26 +136,37 @@ def plain(line: str) -> str:
     return FILE.sub("<file>", line.strip())
 
 
-def line_starts(text: str, key: int) -> tuple[str | None, list[str]]:
-    """The last line, if it is short and not the only one, and the starts of
-    up to LINES others."""
-    lines = text.rstrip().split("\n")
-    last = plain(lines[-1]) if len(lines) > 1 and len(lines[-1]) <= CLOSING else None
-    others = [plain(x[:CLOSING]) for x in lines[:-1] if x.strip()]
-    pick = np.random.default_rng(key & 0xFFFFFFFF).permutation(len(others))[:LINES]
-    return last, [others[i] for i in pick]
+def last_line(text: str) -> str | None:
+    """The last line, if it is short and not the only one."""
+    at = text.rstrip().rfind("\n")
+    line = text[at + 1 :].rstrip()
+    return plain(line) if at >= 0 and len(line) <= CLOSING else None
+
 
+def closings(docs: DataFrame, lasts: DataFrame, n: int) -> frozenset[str]:
+    """Closing lines: of those that end enough texts (line, texts), the ones
+    that do not start other lines as often, which a line cut at random would."""
+    known = {r["line"]: r["texts"] for r in lasts.where(F.col("texts") >= max(LEAST_TEXTS, LEAST_SHARE * n)).collect()}  # at most 10,000
+    if not known:
+        return frozenset()
+    short = any(len(x) < 6 for x in known)
+    sent = docs.sparkSession.sparkContext.broadcast((frozenset(known), sorted({len(x) for x in known}), frozenset() if short else frozenset(x[:6] for x in known)))
+
+    def run(batches):
+        lines, sizes, first = sent.value
+        for pdf in batches:
+            c: Counter[str] = Counter()
+            for t in pdf["text"]:
+                for x in t.rstrip().split("\n")[:-1]:
+                    if x.strip():
+                        x = plain(x[:CLOSING])
+                        if not first or x[:6] in first:
+                            c.update(x[:z] for z in sizes if z <= len(x) and x[:z] in lines)
+            yield pd.DataFrame({"line": list(c), "n": list(c.values())}).astype({"line": object, "n": "int64"})
 
-def closings(rows: list[tuple[str | None, list[str]]], least: int = 3) -> frozenset[str]:
-    """Closing lines: they end several texts and do not start other lines as
-    often, which a line cut at random would."""
-    starts = sorted(x for _, xs in rows for x in xs)
-    out = set()
-    for line, n in Counter(x for x, _ in rows if x).items():
-        mid = bisect.bisect_left(starts, line + "\U0010ffff") - bisect.bisect_left(starts, line)
-        if n >= least and n >= 0.5 * mid:
-            out.add(line)
-    return frozenset(out)
+    mid = docs.select("text").where("text is not null").mapInPandas(run, "line string, n bigint").groupBy("line").agg(F.sum("n").alias("n"))
+    inner = {r["line"]: r["n"] for r in mid.collect()}
+    return frozenset(x for x, k in known.items() if k >= 0.5 * inner.get(x, 0))
 
 
 class EndModel:
@@ -156,34 +180,34 @@ class EndModel:
         line = tail.rstrip().rsplit("\n", 1)
         return len(line) > 1 and (plain(line[1]) in self.closing or bool(SIGNED.match(line[1])))
 
-    def indices(self, tail: str, fenced: bool, size: int) -> list[int]:
-        names = features(tail, fenced, size)
+    def indices(self, tail: str, fenced: bool, size: int, opening: str = "") -> list[int]:
+        names = features(tail, fenced, size, opening)
         last = _last_word(tail)
         if last:
             names.append(f"known{min(int(self.words[slot('W' + last)]), 3)}")
         return [slot(x) for x in names]
 
-    def score(self, tail: str, fenced: bool, size: int) -> float:
+    def score(self, tail: str, fenced: bool, size: int, opening: str = "") -> float:
         if not fenced and self.closes(tail):
             return -8.0
-        found = float(self.weight[self.indices(tail, fenced, size)].sum())
+        found = float(self.weight[self.indices(tail, fenced, size, opening)].sum())
         line = tail.rstrip().rsplit("\n", 1)[-1].strip()
-        open_end = fenced or (line.startswith("|") and not line.endswith("|"))
+        open_end = fenced or ((opening.lstrip() or line).startswith("|") and not line.endswith("|"))
         return max(found, OPEN) if open_end else found
 
     @classmethod
-    def train(cls, rows: list[tuple[str, bool, int, bool]], rounds: int = 6, rate: float = 0.3, decay: float = 1e-4) -> EndModel:
+    def train(cls, rows: list[tuple[str, bool, int, str, bool]], rounds: int = 6, rate: float = 0.3, decay: float = 1e-4) -> EndModel:
         words = np.zeros(1 << BITS, dtype=np.int32)
-        for tail, _, _, _ in rows:
+        for tail, *_ in rows:
             for w in re.findall(r"[^\W\d_]+(?=[^\w])", tail.lower())[1:]:  # whole words only
                 words[slot("W" + w)] += 1
         words = np.minimum(words // 2, 7)
         m = cls(np.zeros(1 << BITS, dtype=np.float32), words)
-        xs = [m.indices(*r[:3]) for r in rows]
+        xs = [m.indices(*r[:4]) for r in rows]
         width = max(map(len, xs), default=1)
         x = np.array([i + [0] * (width - len(i)) for i in xs], dtype=np.int64).reshape(-1, width)
         there = np.array([[1.0] * len(i) + [0.0] * (width - len(i)) for i in xs], dtype=np.float32).reshape(-1, width)
-        y = np.array([r[3] for r in rows], dtype=np.float32)
+        y = np.array([r[4] for r in rows], dtype=np.float32)
         if not len(y):
             return m
         share = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)  # balanced: the sum is a likelihood ratio
@@ -194,12 +218,10 @@ class EndModel:
                 b = order[at : at + 256]
                 z = (m.weight[x[b]] * there[b]).sum(axis=1)
                 g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[b]) * share[b])[:, None] * there[b]
-                i = x[b].ravel()
-                grad = np.zeros(1 << BITS, dtype=np.float32)
-                np.add.at(grad, i, g.ravel())
-                hit = np.unique(i)
-                sq[hit] += grad[hit] ** 2
-                m.weight[hit] -= rate * (grad[hit] / np.sqrt(sq[hit]) + decay * m.weight[hit])
+                hit, at_hit = np.unique(x[b].ravel(), return_inverse=True)
+                grad = np.bincount(at_hit.ravel(), g.ravel(), minlength=len(hit)).astype(np.float32)
+                sq[hit] += grad**2
+                m.weight[hit] -= rate * (grad / np.sqrt(sq[hit]) + decay * m.weight[hit])
         return m
 
 
@@ -227,7 +249,7 @@ def fit_censored(n: float, s1: float, s2: float, cens: list[tuple[float, float]]
 
 def endings(docs: DataFrame, ident: str, text: str, source: str, model: EndModel) -> DataFrame:
     """(doc_id, source, chars, bytes, evidence, hash) of every non-blank text."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.words, model.closing))  # 2 MB and at most `SAMPLE` lines
+    sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.words, model.closing))  # 2 MB and at most 10,000 lines
 
     def run(batches):
         m = EndModel(*sent.value)
@@ -239,7 +261,7 @@ def endings(docs: DataFrame, ident: str, text: str, source: str, model: EndModel
                     bare = t.rstrip("�")
                     size = len(bare.encode("utf-8", "surrogatepass"))
                     marked = bool(MARK.search(t[-TAIL:])) and not m.closes(t[-TAIL:])
-                    out.append((i, s, len(t), size, m.score(t[-TAIL:], fenced, len(t)), marked, len(bare) < len(t), h))
+                    out.append((i, s, len(t), size, m.score(t[-TAIL:], fenced, len(t), opening(t, len(t))), marked, len(bare) < len(t), h))
             yield pd.DataFrame(out, columns=["doc_id", "source", "chars", "bytes", "evidence", "marked", "broken", "hash"])
 
     rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("hash")).where("doc_id is not null and text is not null")
@@ -247,25 +269,45 @@ def endings(docs: DataFrame, ident: str, text: str, source: str, model: EndModel
 
 
 def train(docs: DataFrame, ident: str, text: str, sample: int = SAMPLE) -> EndModel:
+    """One pass over the texts gives the examples of the sample and the last
+    lines of all, another one counts lines that closing lines start."""
     n = docs.count()
-    share = min(1.0, sample / max(n, 1))
-    limit = int(share * (1 << 20))
-    rows = docs.select(F.xxhash64(F.col(ident)).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.pmod("key", F.lit(1 << 20)) < limit))
+    limit = int(min(1.0, sample / max(n, 1)) * (1 << 20))
+    rows = docs.select(F.xxhash64(F.col(ident)).alias("key"), F.col(text).alias("text")).where("text is not null")
+    names = ["line", "tail", "fenced", "size", "opening", "cut"]
 
     def run(batches):
         for pdf in batches:
-            out = [x for k, t in zip(pdf["key"], pdf["text"]) for x in examples(t, k)]
-            yield pd.DataFrame(out, columns=["tail", "fenced", "size", "cut"])
+            out = []
+            for k, t in zip(pdf["key"], pdf["text"]):
+                if k % (1 << 20) < limit:
+                    out += [(None, *x) for x in examples(t, k)]
+                line = last_line(t) if t.strip() else None
+                if line:
+                    out.append((line, None, None, None, None, None))
+            yield pd.DataFrame(out, columns=names).astype({"fenced": "boolean", "size": "Int64", "cut": "boolean"})
+
+    got = written(rows.mapInPandas(run, "line string, tail string, fenced boolean, size bigint, opening string, cut boolean"), "endings-seen")
+    taken = got.where("tail is not null").select(*names[1:]).collect()  # sample * PER_DOC short rows
+    model = EndModel.train(sorted(tuple(r) for r in taken))
+    model.closing = closings(rows, got.where("line is not null").groupBy("line").agg(F.count(F.lit(1)).alias("texts")), n)
+    return model
 
-    def lines(batches):
-        for pdf in batches:
-            yield pd.DataFrame([line_starts(t, k) for k, t in zip(pdf["key"], pdf["text"]) if t.strip()], columns=["last", "others"])
 
-    got = rows.mapInPandas(run, "tail string, fenced boolean, size bigint, cut boolean").collect()  # sample * PER_DOC short rows
-    ends = rows.mapInPandas(lines, "last string, others array<string>").collect()  # sample * LINES short strings
-    model = EndModel.train(sorted((r[0], r[1], r[2], r[3]) for r in got))
-    model.closing = closings([(r[0], r[1]) for r in ends])
-    return model
+def share_of_cuts(ends: DataFrame) -> float:
+    """The share of cuts among texts away from limits, by EM over the evidence
+    of all of them, rounded to quarters."""
+    e = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), F.round(F.col("evidence") * 4) / 4))
+    rows = ends.groupBy(e.alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 97
+    lo, hi = (math.log(p / (1 - p)) for p in PRIORS)
+    if not rows:
+        return 1 / (1 + math.exp(-(lo + hi) / 2))
+    x, c = np.array([r["e"] for r in rows], dtype=float), np.array([r["n"] for r in rows], dtype=float)
+    p = 0.1
+    for _ in range(200):
+        p = float((c / (1 + np.exp(-(math.log(p / (1 - p)) + x)))).sum() / c.sum())
+        p = min(PRIORS[1], max(PRIORS[0], p))
+    return p
 
 
 def limits(ends: DataFrame) -> DataFrame:
@@ -310,7 +352,7 @@ def limits(ends: DataFrame) -> DataFrame:
     return packed.mapInPandas(run, "source string, unit string, size bigint, rows bigint, censored double")
 
 
-def posteriors(ends: DataFrame, found: DataFrame) -> DataFrame:
+def posteriors(ends: DataFrame, found: DataFrame, away: float) -> DataFrame:
     """Adds `censored` (1 at no limit: null) and `posterior` to the endings.  A
     byte limit that would split a character is met up to three bytes below."""
     near = found.select(F.col("source").alias("s"), F.col("unit").alias("u"), F.explode(F.when(F.col("unit") == "bytes", F.array(*[F.col("size") - i for i in range(4)])).otherwise(F.array("size"))).alias("z"), "size", "censored")
@@ -321,7 +363,7 @@ def posteriors(ends: DataFrame, found: DataFrame) -> DataFrame:
     x = ends.join(c, ends["source"].eqNullSafe(F.col("s1")) & (ends["chars"] == F.col("z1")), "left")
     x = x.join(b, ends["source"].eqNullSafe(F.col("s2")) & (ends["bytes"] == F.col("z2")) & (F.col("same") | (ends["chars"] < ends["bytes"]) | ends["broken"]), "left")
     at = F.greatest("c1", "c2")
-    prior = F.when(at.isNotNull(), F.least(at, F.lit(SURE))).otherwise(PRIOR)
+    prior = F.when(at.isNotNull(), F.least(at, F.lit(SURE))).otherwise(away)
     bonus = F.when(F.col("broken"), 6.0).otherwise(0.0) + F.when(F.col("marked") & (at.isNotNull() | (F.col("evidence") > 0)), 8.0).otherwise(0.0)
     logit = F.log(prior / (1 - prior)) + F.col("evidence") + bonus
     return x.select("doc_id", "source", "chars", "bytes", "evidence", at.alias("censored"), (1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), logit))))).alias("posterior"))
@@ -330,7 +372,7 @@ def posteriors(ends: DataFrame, found: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, chars, bytes, evidence, censored, posterior)."""
     ends = written(endings(docs, ident, text, source, train(docs, ident, text)), "endings")
-    return posteriors(ends, written(limits(ends), "limits"))
+    return posteriors(ends, written(limits(ends), "limits"), share_of_cuts(ends))
 
 
 def by_source(rows: DataFrame, least: float = 0.5) -> DataFrame:

@@ -92,6 +92,26 @@ def test_split_files_equals_the_whole_text(spark, tmp_path):
     assert got[1].text == text.encode()[want[1][2] : want[1][3]].decode()
 
 
+def test_any_bytes_are_split_exactly(spark, tmp_path):
+    r = random.Random(6)
+    bits = [b"\xff", b"\xe2\x80", b"\xe2\x80\xa8", b"\x80" * 9, b"\xc2", b"\xc2\xa0", b"\xe3\x80\x80", b" ", b"\n", "é漢".encode(), b"word", b"x."]
+    data = b"".join(r.choice(bits) + r.choice([b"", b"", b" ", b"ab"]) for _ in range(30000))
+    (tmp_path / "raw.bin").write_bytes(data)
+    want = pieces.pieces_of(data, pieces.Grid())
+    assert len(want) > 10 and b"".join(data[c:e] for _, c, _, e, _ in want) == data and max(p[4] for p in want) <= 512
+    for width in (997, 1 << 13):
+        assert pieces.pieces_of(data, pieces.Grid(), width) == want
+        got = pieces.split_files(spark, f"file://{tmp_path}", size_of_range=width).orderBy("chunk_index").collect()
+        assert [(p.chunk_index, p.core_start, p.byte_start, p.byte_end, p.tokens) for p in got] == want
+
+
+def test_a_long_file_of_one_line(spark, tmp_path):
+    (tmp_path / "line.txt").write_bytes(b"ab cde " * 3_000_000)
+    got = pieces.split_files(spark, f"file://{tmp_path}", with_text=False).orderBy("chunk_index").collect()
+    assert sum(p.tokens for p in got) - 64 * (len(got) - 1) == 6_000_000 and max(p.tokens for p in got) <= 512
+    assert [p.chunk_index for p in got] == list(range(len(got))) and got[-1].byte_end == 21_000_000
+
+
 # ---- packing
 
 

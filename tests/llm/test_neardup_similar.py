@@ -55,17 +55,63 @@ def test_pairs_and_groups_against_brute_force(spark):
     assert all(g["t", i] == find(i) for i, _ in ids)
 
 
-def test_a_crowded_prefix_loses_nothing(spark):
-    ids = list(range(10, 10 + 57))
-    keys = spark.createDataFrame([(1, i) for i in ids] + [(2, 1), (3, 5), (3, 4)], "key long, id long")
-    met = neardup.walk_trees(keys, crowd=8)
-    assert {(r.a, r.b) for r in met.where("b is not null").collect()} == {(4, 5)}
-    pairs = neardup.crowded_pairs(met.where("b is null"))
-    assert sorted(map(tuple, pairs.collect())) == sorted(combinations(ids, 2))
+def lanes(n, seed=2):
+    return np.random.default_rng(seed).integers(0, 256, (n, neardup.LANES), dtype=np.uint8)
+
+
+def signed(spark, x):
+    return spark.createDataFrame([(0, i, bytearray(v.tobytes())) for i, v in enumerate(x)], "tab int, id long, sig binary")
+
+
+def planted(n, pairs, agree, seed=3):
+    """Signatures of which 2i and 2i + 1 agree in that share of lanes."""
+    r, x = np.random.default_rng(seed), lanes(n)
+    for i in range(pairs):
+        same = r.random(neardup.LANES) < agree
+        x[2 * i + 1, same] = x[2 * i, same]
+    return x
+
 
+def test_the_prefix_is_shortened_as_far_as_the_collection_needs():
+    close, far = {120: 500}, {120: 500, 80: 40}
+    ks = [neardup.shortened(c, 0.6) for c in (close, far, {})]
+    assert ks[0] == neardup.DEPTH > ks[1] >= ks[2] > 1
+    assert neardup.met(np.array([0.6]), ks[2])[0] >= neardup.TARGET > neardup.met(np.array([0.6]), ks[2] + 1)[0]
 
-def test_depth_follows_threshold_and_recall():
-    assert neardup.depth(0.6) == 4 and neardup.depth(0.8) == 8 and neardup.depth(0.6, target=0.9999) < 4
+
+def test_recall_at_and_above_the_threshold(spark):
+    for agree in (0.68, 0.97):
+        got = {(r.a, r.b) for r in neardup.candidates(signed(spark, planted(4000, 400, agree)), 0.6).collect()}
+        assert sum((2 * i, 2 * i + 1) in got for i in range(400)) >= 0.98 * 400
+
+
+def test_a_crowded_node_loses_nothing_and_emits_only_likely_pairs(spark):
+    counts = []
+    for n in (6000, 24000):  # all below one node of one tree; no other labels in common
+        x = planted(n, n // 40, 0.8)
+        x[:, :8] = 7
+        x[: n // 20 : 2, 8:][:, ::16] ^= 1
+        got = {(r.a, r.b) for r in neardup.candidates(signed(spark, x), 0.6).collect()}
+        assert sum((2 * i, 2 * i + 1) in got for i in range(n // 40)) >= 0.99 * (n // 40)
+        counts.append(len(got))
+    assert counts[1] <= 6 * counts[0] and counts[1] < 2 * 24000
+
+
+def test_walking_and_blocks(spark):
+    ids = list(range(10, 10 + 57))
+    keys = spark.createDataFrame([(1, i) for i in ids] + [(2, 1), (3, 5), (3, 4)], "key long, id long")
+    walked = neardup.walk_trees(keys, crowd=8)
+    assert {(r.a, r.b) for r in walked.where("b is not null").collect()} == {(4, 5)}
+    members = walked.where("b is null").select("key", "a", (F.col("a") % 3).cast("int").alias("block"), F.lit(2).alias("last"))
+    sig = spark.createDataFrame([(i, bytearray(neardup.LANES)) for i in ids], "id long, sig binary")
+    assert sorted(map(tuple, neardup.crowded_pairs(members, sig, 0.6).collect())) == sorted(combinations(ids, 2))
+
+
+def test_repeated_ids_with_different_texts_count_by_one_of_them(spark):
+    long = [" ".join(f"{w}{i}" for i in range(80)) for w in "ab"]
+    rows = [(1, long[0]), (1, long[1]), (2, long[0]), (3, long[1]), (1, "short")]
+    got = [set(map(tuple, neardup.NearDuplicates([(spark.createDataFrame(x, "rid long, body string"), "t", "rid", "body")], words=3, threshold=0.6).pairs().collect())) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0] & {("t", 1, 2), ("t", 1, 3)}) == 1
 
 
 def test_nothing_in_nothing_out(spark):
