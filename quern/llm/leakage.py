@@ -14,12 +14,15 @@ one result.  Empty tables give empty results.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import written
+
 RUN = 12
 BLOCK_WORDS = 1_000_000  # words of test items in one automaton
 WORD = re.compile(r"[a-z0-9]+")
@@ -107,7 +110,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str
     """(doc_id, item_id, start, end, words): stretches of documents that repeat
     at least `run` consecutive words of an item; offsets are characters."""
     sides = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).where("doc_id is not null and text is not null")
-    out = None
+    parts: list[DataFrame] = []
     for block in _blocks(items, item, item_text, block_words):
 
         def run_block(batches, block=block):
@@ -120,6 +123,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str
                 rows = [(d, *hit) for d, t in zip(pdf["doc_id"], pdf["text"]) for hit in scan(t, *made, run)] if made else []
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "words"])
 
-        part = sides.mapInPandas(run_block, SPANS)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], SPANS) if out is None else out.distinct()
+        if parts:  # further blocks: the one before is done with, so that no more than two are ever held
+            parts[-1] = written(parts[-1], "leaks")
+        parts.append(sides.mapInPandas(run_block, SPANS))
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else docs.sparkSession.createDataFrame([], SPANS)

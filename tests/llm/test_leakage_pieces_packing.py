@@ -168,3 +168,12 @@ def test_token_lengths(spark):
     got = {r.doc_id: r.tokens for r in packing.token_lengths(df).collect()}
     enc = packing.encoding(packing.VOCABULARY)
     assert got == {1: len(enc.encode_ordinary("Hello  world")), 2: 0, 3: 0, 4: len(enc.encode_ordinary("<|endoftext|>"))}
+
+
+@pytest.mark.parametrize("cap", [64, 512, 8192])
+def test_containers_are_close_to_the_fewest_possible(cap):
+    r = random.Random(cap)
+    lens = [min(cap, int(r.lognormvariate(4.5, 1.0)) + 1) for _ in range(20000)]
+    plan = packing.Plan(cap, dict(Counter(lens)))
+    least = max(-(-sum(lens) // cap), sum(x > cap // 2 for x in lens))  # by room, and as no two large ones go together
+    assert least <= plan.containers <= 1.01 * least + 1
