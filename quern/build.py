@@ -156,6 +156,19 @@ def build(spark: SparkSession, store: Store, version: str, roots: list[str], *,
     return out
 
 
+def insert(spark: SparkSession, store: Store, version: str, table: str, rows: list[dict], model: str | None = None) -> list[int]:
+    """Append a few chunks or sections; returns their ids.  Chunks bring their
+    symbols along; the last writer of a name wins in lookups."""
+    schema, key = {"code_chunks": (CHUNKS, ["file_path", "symbol_name", "line_start", "chunk_index"]), "doc_sections": (SECTIONS, ["source_path", "title", "page_range"])}[table]
+    ident, text = schema.split()[0], "code_text" if table == "code_chunks" else "content"
+    df = spark.createDataFrame([tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in rows], schema)
+    df = written(df.withColumn(ident, F.xxhash64(*key)).withColumn("embedding", F.coalesce("embedding", embedding.embed(F.col(text), model))), "inserted")
+    store.append(version, table, df)
+    if table == "code_chunks":
+        store.append(version, "symbols", symbols_of(df))
+    return [r[0] for r in df.select(ident).collect()]  # the rows of the call
+
+
 def interrupted(store: Store) -> dict | None:
     """What a build that did not end was doing."""
     at = store.home / MARKER

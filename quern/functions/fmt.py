@@ -17,6 +17,13 @@ def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n.cast("bigint"))).otherwise(F.when(n.isNotNull(), out))
 
 
+def parse_time(text: Column) -> Column:
+    """ISO 8601 date-times, with a Z or an offset or taken for UTC, as
+    timestamps; null for anything else."""
+    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), F.try_to_timestamp(zoned))
+
+
 def human_age(then: Column, now: Column) -> Column:
     """Time since `then` in its largest unit; a dash for null."""
     s = F.unix_timestamp(now) - F.unix_timestamp(then)

@@ -36,6 +36,24 @@ def threads(limit: int | None = None) -> int:
     return 1 if TaskContext.get() else max(1, min(limit or os.cpu_count() or 1, os.cpu_count() or 1))
 
 
+def resolve_device(wanted: str = "auto") -> str:
+    """'cuda' or 'cpu': what is asked for, or for 'auto' whether ONNX offers it."""
+    if wanted not in ("auto", "cpu", "cuda"):
+        raise ValueError(f"no such device: {wanted}")
+    if wanted != "auto":
+        return wanted
+    try:
+        import onnxruntime
+    except ImportError:
+        return "cpu"
+    return "cuda" if "CUDAExecutionProvider" in onnxruntime.get_available_providers() else "cpu"
+
+
+def batch_size(device: str) -> int:
+    """Texts in one run of the model."""
+    return 1024 if device == "cuda" else 256
+
+
 def find_model(name: str | None = None, home: str | None = None) -> str | None:
     """The folder of a model: `name` as a path, then below `home`/models."""
     import os
@@ -64,12 +82,13 @@ def loaded(folder: str) -> tuple:
     return _loaded[folder]
 
 
-def onnx_vectors(folder: str, texts: list[str], batch: int = 256) -> np.ndarray:
+def onnx_vectors(folder: str, texts: list[str], batch: int | None = None) -> np.ndarray:
     """Mean-pooled unit vectors of the model in `folder` (model.onnx,
     tokenizer.json), the first 128 pieces of each text."""
     from quern.functions.vectors import mean_pool
 
     tok, run = loaded(folder)
+    batch = batch or batch_size(resolve_device())
     names, out = {i.name for i in run.get_inputs()}, []
     for at in range(0, len(texts), batch):
         enc = tok.encode_batch([t or "" for t in texts[at : at + batch]])

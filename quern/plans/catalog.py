@@ -147,7 +147,12 @@ def fmt_elapsed(s, d):
     return table(s, d, "events").select("event_id", fmt.fmt_elapsed(F.col("value")).alias("elapsed"))
 
 
-@query()
+@query(
+    """with p as (select input_root, rel_path, string_split(rel_path, '/') as q, len(string_split(rel_path, '/')) as n from walk),
+    t as (select input_root, rel_path, q[n] as name, list_concat([rel_path], list_concat(case when n >= 3 then list_transform(generate_series(n - 2, 1, -1), lambda k: array_to_string(q[1:k], '/') || '/…/' || q[n - 1] || '/' || q[n]) else [] end,
+    list_concat(case when n >= 2 then ['…/' || q[n - 1] || '/' || q[n]] else [] end, ['…/' || q[n]]))) as tries from p)
+    select input_root, rel_path, coalesce(list_filter(tries, lambda x: length(x) <= 24)[1], name[1:24]) as shown from t"""
+)
 def fmt_path(s, d):
     w = table(s, d, "walk")
     return w.select("input_root", "rel_path", fmt.fmt_path(F.concat_ws("/", "input_root", "rel_path"), F.col("input_root"), 24).alias("shown"))
@@ -173,7 +178,14 @@ def _case(pairs: dict[str, str], key: str) -> str:
     return f"case {key} " + " ".join(f"when '{k}' then '{v}'" for k, v in pairs.items()) + " end"
 
 
-LANGUAGE = f"coalesce({_case(registry.FILE_NAMES, 'b')}, {_case({e: lang for lang, es in registry.EXTENSIONS.items() for e in es}, 'e')})"
+# Names and extensions with their languages, stated again so that the check does not read the registry's own lists.
+NAMES_STATED = "CMakeLists.txt cmake, Makefile make, makefile make, GNUmakefile make, Cargo.toml toml, pyproject.toml toml, package.json json, go.mod gomod, build.gradle gradle, build.gradle.kts kotlin, pom.xml xml, conanfile.py conan, conanfile.txt conan"
+EXTENSIONS_STATED = (
+    "c c, h c, cpp cpp, cc cpp, cxx cpp, hpp cpp, hh cpp, hxx cpp, rs rust, py python, go go, js javascript, mjs javascript, cjs javascript, ts typescript, tsx typescript, mts typescript, cts typescript, java java, cs csharp, rb ruby, swift swift, "
+    "kt kotlin, kts kotlin, scala scala, lua lua, php php, sh bash, bash bash, zig zig, ex elixir, exs elixir, hs haskell, lhs haskell, ml ocaml, mli ocaml, erl erlang, hrl erlang, dart dart, r r, R r, f90 fortran, f95 fortran, f03 fortran, f08 fortran, "
+    "for fortran, f fortran, v verilog, sv systemverilog, svh systemverilog, vhd vhdl, vhdl vhdl, cmake cmake, mk make, mak make, toml toml, gradle gradle"
+)
+LANGUAGE = "coalesce({}, {})".format(*(_case(dict(x.split() for x in text.split(", ")), key) for text, key in ((NAMES_STATED, "b"), (EXTENSIONS_STATED, "e"))))
 
 
 @query(
@@ -194,7 +206,16 @@ def code_extract(s, d):
     return code.parse_files(f)
 
 
-@query()
+@query(
+    f"""with recursive x as (select distinct code_text as t from code_chunks where code_text is not null), l as (select t, string_split(regexp_replace(t, '\\r\\n|\\r', chr(10), 'g'), chr(10)) as lines from x),
+    n as (select t, lines, len(lines) as n, list_transform(lines, lambda y: len({_tokens("y")})) as c from l), tot as (select t, lines, n, list_transform(generate_series(0, n), lambda i: coalesce(list_sum(c[1:i]), 0)::int) as s from n),
+    r as (select t, lines, n, s, 0 as i, 0 as a, case when s[n + 1] <= 512 then n else least(n, list_filter(generate_series(1, n), lambda j: s[j + 1] >= 512 or j = n)[1]) end as b from tot union all
+    select t, lines, n, s, i + 1, a2, least(n, list_filter(generate_series(a2 + 1, n), lambda j: s[j + 1] >= s[a2 + 1] + 512 or j = n)[1]) from
+    (select *, greatest(coalesce(list_max(list_filter(generate_series(a, b - 1), lambda j: s[j + 1] <= s[b + 1] - 64)), a - 1), a + 1) as a2 from r where b < n)),
+    k as (select t, count(*) as parts from r group by t)
+    select version, id, case when parts > 1 then symbol_name || '#' || i else symbol_name end as symbol_name, line_start + coalesce(a, 0) as line_start, line_start + coalesce(b, 1) - 1 as line_end, coalesce(i, 0)::int as chunk_index,
+    case when parts > 1 then array_to_string(lines[a + 1:b], chr(10)) else code_text end as code_text from code_chunks left join r on r.t = code_text left join k on k.t = code_text"""
+)
 def code_split(s, d):
     c = table(s, d, "code_chunks").select("version", "id", "symbol_name", "line_start", "line_end", "chunk_index", "code_text")
     return code.split_chunks(c)
@@ -442,9 +463,11 @@ def manifest_delta(s, d):
     return delta.file_delta(_latest(s, d), table(s, d, "walk"))
 
 
-@query(f"with {LATEST} select version, input_root, count(*)::bigint as files from l where not exists (from walk where walk.version = l.version and walk.input_root = l.input_root) group by all")
+@query(f"with {LATEST}, r as (select min(input_root) as one from walk) select version, input_root, count(*)::bigint as files from l where not exists (from walk, r where walk.version = l.version and walk.input_root = l.input_root and input_root <> one) group by all")
 def dropped_roots(s, d):
-    return delta.dropped_roots(_latest(s, d), table(s, d, "walk"))
+    """Roots of the manifest after the first root of the walk has gone."""
+    walk = table(s, d, "walk")
+    return delta.dropped_roots(_latest(s, d), walk.join(walk.agg(F.min("input_root").alias("input_root")), "input_root", "left_anti"))
 
 
 def _two(df: DataFrame) -> tuple[str, str]:
@@ -561,9 +584,9 @@ def report_totals(s, d):
     return reports.totals(_files(s, d))
 
 
-@query(f"with {FILES} select path, 'no language' as reason from f where skipped union all select file_path, 'empty text' from (select file_path from code_chunks group by 1 having coalesce(max(length(code_text)), 0) = 0)")
+@query(f"with {FILES} select path, 'no language' as reason from f where skipped union all select file_path, 'empty text' from (select file_path from code_chunks group by 1 having min(coalesce(length(code_text), 0)) = 0)")
 def report_skipped(s, d):
-    bad = table(s, d, "code_chunks").groupBy(F.col("file_path").alias("path")).agg(F.coalesce(F.max(F.length("code_text")), F.lit(0)).alias("n")).where("n = 0").withColumn("reason", F.lit("empty text"))
+    bad = table(s, d, "code_chunks").groupBy(F.col("file_path").alias("path")).agg(F.min(F.coalesce(F.length("code_text"), F.lit(0))).alias("n")).where("n = 0").withColumn("reason", F.lit("empty text"))
     return reports.skipped(_files(s, d), bad)
 
 
@@ -600,7 +623,26 @@ def upper_median(s, d):
     return reports.upper_median(table(s, d, "events"), ["event_type"], "value")
 
 
-@query()
+SPACES = "[ \\t\\n\\x0b\\f\\r]"
+NUMBER = "coalesce(try_cast(nullif(regexp_extract(trim(title), '{}', {}), '') as int), 0)"
+SECTIONS = """h as (select *, count(*) filter (where head) over w as ord from n window w as (partition by doc order by {order} rows unbounded preceding)),
+m as (select doc, ord, any_value(title) as title, any_value({start}) as start from (select *, text as title from h where head) group by doc, ord),
+c as (select doc, ord, title, start, {chapter} as c, {section} as s, regexp_extract(trim(title), '{number}', 3) as subsection from m),
+g as (select *, last_value(case when {own} then c end ignore nulls) over (partition by doc order by ord rows unbounded preceding) as chapter from c),
+b as (select doc, ord, trim(regexp_replace(string_agg(text, ' ' order by {order}), '{spaces}+', ' ', 'g')) as content, max({start}) as last from h where not head group by doc, ord)"""
+
+
+def _sections(order: str, own: str, start: str = "0") -> str:
+    return SECTIONS.format(order=order, own=own, start=start, spaces=SPACES, number=X.HEADING, chapter=NUMBER.format(X.HEADING, 1), section=NUMBER.format(X.HEADING, 2))
+
+
+@query(
+    f"""with t as (select distinct source_path, section_id, title, content, replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;') || '</h2>' || replace(replace(content, '&', '&amp;'), '<', '&lt;') as k from doc_sections where content is not null),
+    n as (select source_path as doc, section_id, k, 0 as part, true as head, trim(title) as text from t where trim(coalesce(title, '')) <> '' union all
+    select source_path, section_id, k, 1, false, trim(regexp_replace(content, '{SPACES}+', ' ', 'g')) from t where trim(regexp_replace(content, '{SPACES}+', ' ', 'g')) <> ''),
+    {_sections("section_id, k, part", "c > 0")}
+    select b.doc, b.ord::int as ord, coalesce(chapter, 0)::int as chapter, coalesce(s, 0)::int as section, coalesce(subsection, '') as subsection, coalesce(title, '') as title, content, '' as page_range from b left join g using (doc, ord) where content <> ''"""
+)
 def html_sections(s, d):
     """Sections of pages rebuilt from the stored sections of each document."""
     t = table(s, d, "doc_sections").where("content is not null").select("source_path", "section_id", "title", "content").distinct()
@@ -611,7 +653,14 @@ def html_sections(s, d):
     return documents.html_sections(documents.html_nodes(p, "source_path", "html"))
 
 
-@query()
+@query(
+    f"""with t as (select source_path as doc, section_id::int as page, max(title) as title, max(content) as content from doc_sections where content is not null group by all),
+    z as (select doc, page, 0 as line, title as text, 14.0 as size from t union all select doc, page, generate_subscripts(string_split(regexp_replace(content, '\\.{SPACES}', '.' || chr(1), 'g'), chr(1)), 1), unnest(string_split(regexp_replace(content, '\\.{SPACES}', '.' || chr(1), 'g'), chr(1))), 10.0 from t),
+    y as (select doc, page, line, trim(text) as text, size from z where trim(text) <> ''), med as (select doc, list_sort(list(size))[(count(*) // 2 + 1)::int] as m from y group by doc),
+    n as (select doc, page, line, text, size / m >= 1.4 as head from y join med using (doc)),
+    {_sections("page, line", "true", "page")}
+    select b.doc, b.ord::int as ord, coalesce(chapter, 0)::int as chapter, 0 as section, coalesce(subsection, '') as subsection, coalesce(title, '') as title, content, coalesce(start, 1) || '-' || last as page_range from b left join g using (doc, ord) where content <> ''"""
+)
 def pdf_sections(s, d):
     """Sections of spans made of each document's titles (large) and lines."""
     t = table(s, d, "doc_sections").where("content is not null").groupBy("source_path", "section_id").agg(F.max("title").alias("title"), F.max("content").alias("content"))

@@ -28,10 +28,13 @@ def local_session(cores: int | str = "*", name: str = "quern", memory: str = "8g
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.  Only where it
-    is unset (tests on one machine) a temporary folder is made and kept."""
+    is unset and one machine is all there is, a temporary folder is made and
+    kept; on a cluster the setting must be there."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
         sc.setCheckpointDir(d)
     return d.rstrip("/")

@@ -20,15 +20,18 @@ def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     language[, content]); other files are left out.
 
     Spark's own file sources skip names with a leading dot or underscore, which
-    belong to a source tree, so the listing is done here: the entries of the
-    root on the driver, each of its folders by a task.  Contents are read by
+    belong to a source tree, so the listing is done here: the topmost folders on
+    the driver, as many as make work for all tasks, each of the others by a task.  Contents are read by
     tasks, a row per file; without `content` no file is opened."""
     from pyarrow import fs
 
     base = root.rstrip("/")
     system, top = _open(base)
-    entries = system.get_file_info(fs.FileSelector(top))
-    pairs = [(e.path, e.type == fs.FileType.Directory) for e in entries]
+    folders, loose, want = [top], [], spark.sparkContext.defaultParallelism * 4
+    while folders and len(folders) < want:  # from the top, until there is a folder for every task
+        for e in system.get_file_info(fs.FileSelector(folders.pop(0))):
+            (folders if e.type == fs.FileType.Directory else loose).append(e.path)
+    pairs = [(p, False) for p in loose] + [(p, True) for p in folders]
 
     def listed(batches):
         system, top = _open(base)
@@ -39,7 +42,7 @@ def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
                 out += [(i.path[len(top) :].lstrip("/"), i.path, i.mtime_ns / 1e9, i.size) for i in infos if i.type == fs.FileType.File]
             yield pd.DataFrame(out, columns=["rel_path", "path", "mtime", "length"])
 
-    n = max(1, min(len(pairs), spark.sparkContext.defaultParallelism * 4))
+    n = max(1, min(len(pairs), want))
     rows = spark.createDataFrame(pairs, "path string, folder boolean").repartition(n).mapInPandas(listed, "rel_path string, path string, mtime double, length bigint")
     rows = rows.select(F.lit(base).alias("input_root"), "*", R.kind(F.col("path")).alias("kind"), R.language(F.col("path")).alias("language")).where("kind is not null")
     return read_content(rows) if content else rows

@@ -20,6 +20,40 @@ def watch(spark: SparkSession, root: str, build: Callable[[DataFrame, int], None
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(build).start()
 
 
+def rebuild_on_change(root: str, rebuild: Callable[[], object], stop: Callable[[], bool], quiet: float = 0.5, poll: float = 0.1) -> int:
+    """Call `rebuild` once after each burst of changes below root, deletions
+    too, when nothing has changed for `quiet` seconds; returns how often.  The
+    listing is of names, sizes and times only: what has changed the build
+    finds out by its own delta."""
+    import os
+    import time
+
+    def seen() -> dict[str, tuple[int, int]]:
+        out = {}
+        for folder, _, names in os.walk(root):
+            for n in names:
+                try:
+                    st = os.stat(os.path.join(folder, n))
+                except FileNotFoundError:
+                    continue
+                out[os.path.join(folder, n)] = st.st_mtime_ns, st.st_size
+        return out
+
+    known = done = seen()
+    last, built = None, 0
+    while not stop():
+        time.sleep(poll)
+        now = seen()
+        if now != known:
+            known, last = now, time.monotonic()
+        elif last is not None and time.monotonic() - last >= quiet:
+            last = None
+            if known != done:
+                rebuild()
+                built, done = built + 1, known
+    return built
+
+
 def ledger_stream(parents: DataFrame | None, children: DataFrame | None, ledger: ReferenceLedger, checkpoint: str):
     """Fold a stream of parent or child rows into the ledger; restarted
     batches have the same id and are not counted twice."""

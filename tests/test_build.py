@@ -87,3 +87,34 @@ def test_a_build_that_fails_leaves_the_version_and_a_marker(spark, tmp_path, tre
     assert B.interrupted(store)["version"] == "v1" and "later" not in {r.name for r in store.read(spark, "symbols", B.SYMBOLS).collect()}
     monkeypatch.undo()
     assert B.build(spark, store, "v1", [str(tree)]).actions["add"] == 1 and B.interrupted(store) is None
+
+
+def test_rows_can_be_inserted_one_at_a_time(spark, tmp_path, tree):
+    store = Store(str(tmp_path / "home"))
+    B.build(spark, store, "v1", [str(tree)])
+    row = {"symbol_name": "late_one", "file_path": "x.c", "file_name": "x.c", "line_start": 1, "line_end": 2, "code_text": "int late_one;", "type": "constant", "language": "c", "parent_name": "", "call_depth": 0, "chunk_index": 0}
+    ids = B.insert(spark, store, "v1", "code_chunks", [row])
+    c, s = store.read(spark, "code_chunks", B.CHUNKS), store.read(spark, "symbols", B.SYMBOLS)
+    assert c.where(f"id = {ids[0]}").count() == 1 and s.where("name = 'late_one'").first().chunk_id == ids[0]
+
+
+def test_a_burst_of_changes_gives_one_rebuild(tmp_path):
+    import threading
+    import time
+
+    from quern.streaming.watch import rebuild_on_change
+
+    (tmp_path / "a.c").write_text("x")
+    calls, end, count = [], threading.Event(), []
+    t = threading.Thread(target=lambda: count.append(rebuild_on_change(str(tmp_path), lambda: calls.append(1), end.is_set, quiet=0.3, poll=0.03)))
+    t.start()
+    time.sleep(0.2)
+    for i in range(5):
+        (tmp_path / f"b{i}.c").write_text("y")
+        time.sleep(0.03)
+    time.sleep(1.0)
+    (tmp_path / "a.c").unlink()
+    time.sleep(1.0)
+    end.set()
+    t.join()
+    assert len(calls) == 2 == count[0]

@@ -90,3 +90,25 @@ def test_vectors(spark):
     assert got == {1: 1.0, 2: 0.0, 3: None, 4: None, 5: None, 6: None}
     unit = {r[0]: r[1] for r in df.select("id", V.l2_normalize(F.col("e"))).collect()}
     assert unit[2] == [0.0, 1.0] and unit[3] == [0.0, 0.0] and unit[6] is None
+
+
+@pytest.mark.parametrize("text,want", [("2025-01-02T03:04:05Z", 1735787045), ("2025-01-02T04:04:05+01:00", 1735787045), ("2025-01-02T03:04:05", 1735787045), ("yesterday", None), ("", None), (None, None)])
+def test_times_with_a_z(spark, text, want):
+    assert one(spark, lambda c: F.unix_timestamp(fmt.parse_time(c)), text) == want
+
+
+def test_devices():
+    from quern.operators import embedding
+
+    assert embedding.resolve_device("cuda") == "cuda" and embedding.resolve_device() in ("cpu", "cuda") and (embedding.batch_size("cuda"), embedding.batch_size("cpu")) == (1024, 256)
+    with pytest.raises(ValueError):
+        embedding.resolve_device("tpu")
+    assert embedding.find_model("/nowhere", "/none") is None
+
+
+def test_vectors_with_gaps(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [-4.0, 3.0])], "i int, v array<float>")
+    got = {r.i: r.c for r in df.select("i", V.cosine_to(F.col("v"), [6.0, 8.0]).alias("c")).collect()}
+    assert got[1] == pytest.approx(1.0) and got[7] == pytest.approx(0.0) and all(got[i] is None for i in (2, 3, 4, 5, 6))
+    assert df.where("i > 1 and i < 7").select(V.cosine_to(F.col("v"), [1.0, 0.0]).alias("c")).where("c is not null").count() == 0
