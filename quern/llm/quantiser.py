@@ -31,13 +31,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 
 class Quantiser:
     """Book 0 has `cells` entries and doubles as the coarse partition; the
-    `books` others have 256."""
+    `books` others have `size`."""
 
     SIZE = 256
 
-    def __init__(self, c: np.ndarray, cells: int, books: int):
+    def __init__(self, c: np.ndarray, cells: int, books: int, size: int = SIZE):
         self.c, self.cells, self.books = np.ascontiguousarray(c, dtype=np.float32), cells, books
-        self.at = [0, *[cells + i * self.SIZE for i in range(books + 1)]]  # block bounds
+        self.at = [0, *[cells + i * size for i in range(books + 1)]]  # block bounds
         self.norm = (self.c * self.c).sum(axis=1)
         self.cross = self.c @ self.c[cells:].T  # all entries x entries of the books after the first
 
@@ -46,7 +46,7 @@ class Quantiser:
         return self.c[: self.cells]
 
     @classmethod
-    def train(cls, x: np.ndarray, cells: int, books: int, rounds: int = 8, refits: int = 1, seed: int = 7) -> Quantiser:
+    def train(cls, x: np.ndarray, cells: int, books: int, rounds: int = 8, refits: int = 1, seed: int = 7, size: int = SIZE) -> Quantiser:
         """Residual k-means book by book, then rounds of beam encoding and a
         joint least-squares fit of all entries to the codes."""
         rng = np.random.default_rng(seed)
@@ -54,9 +54,9 @@ class Quantiser:
         parts, rest = [kmeans(x, cells, rounds, rng)], x
         for i in range(books + 1):
             if i:
-                parts.append(kmeans(rest, cls.SIZE, rounds // 2, rng))
+                parts.append(kmeans(rest, size, rounds // 2, rng))
             rest = rest - parts[-1][nearest(rest, parts[-1])[:, 0]]
-        q = cls(np.concatenate(parts), cells, books)
+        q = cls(np.concatenate(parts), cells, books, size)
         for _ in range(refits):
             code = q.encode(x)
             flat = code + np.array(q.at[:-1])
@@ -68,7 +68,7 @@ class Quantiser:
                 for b in range(books + 1):
                     np.add.at(gram, (flat[:, a], flat[:, b]), 1.0)
             gram[np.diag_indices(n)] += 1.0  # entries without rows stay where they are
-            q = cls(np.linalg.solve(gram, right + q.c), cells, books)
+            q = cls(np.linalg.solve(gram, right + q.c), cells, books, size)
         return q
 
     def encode(self, x: np.ndarray, beam: int = 4, batch: int = 1024) -> np.ndarray:

@@ -180,3 +180,29 @@ def test_no_vectors(spark):
     assert similar.Neighbours(df.limit(0), "chunk_id", "e", 2, 5).pairs().count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0])], "chunk_id long, e array<float>")
     assert similar.Neighbours(one, "chunk_id", "e", 2, 5).pairs().count() == 0
+
+
+def test_large_clusters_lie_in_many_cells_and_lose_nothing(spark):
+    r = np.random.default_rng(4)
+    x = (r.normal(size=(6, 96))[r.integers(0, 6, 6000)] + 1.2 * r.normal(size=(6000, 96))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, e array<float>")
+    want = brute(x, 5)
+    for part in (8192, 500):
+        got = {(r.chunk_id, r.neighbour) for r in similar.Neighbours(df, "chunk_id", "e", 96, 5, part=part).lists().collect()}
+        assert len(got) == 30000 and len(got & want) / len(want) >= 0.99
+
+
+def test_a_pair_counts_for_the_side_that_does_not_probe():
+    x = np.array([[1, 0], [0.8, 0.6], [0.6, 0.8]], dtype=np.float32)
+    part, lists = similar.Part(np.array([7, 5, 3]), np.array([0, 0, 1]), x, 1), similar.Lists(1, 1)
+    assert part.at == {0: (0, 2), 1: (2, 3)} and part.h.tolist() == [5, 7, 3]
+    for _ in range(2):  # a second delivery changes nothing
+        part.compare(np.array([[0.96, 0.28]], dtype=np.float32), np.array([9]), lists, np.array([0]), np.array([0]), True)
+    assert lists.h[0, 0] == 7 and part.lists.h[:2, 0].tolist() == [9, 9] and not np.isfinite(part.lists.e[2]).any()
+
+
+def test_ties_and_packing():
+    i, j = similar.top(np.array([[1, 2, 2, 2], [0, -np.inf, 3, 1]], dtype=np.float32), 2)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (1, 2), (1, 3)]
+    x = clustered(20, 24)
+    assert (similar.unpacked(similar.packed(x), 24) == x).all()
