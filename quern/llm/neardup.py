@@ -5,9 +5,8 @@ string of `DEPTH` labels from it, and the strings of a tree, sorted, are its
 prefix trie laid flat: texts below one node stand next to each other.  Pairs
 come from texts that share a prefix in some tree.
 
-How long a prefix must match is found from the data.  Matches of whole strings
-(over a share of the keys, `PROBED`) show how similar the pairs of the
-collection are: a pair that agrees in a share p of its lanes matches all labels
+How long a prefix must match is found from the data.  All matches of whole
+strings show how similar the pairs of the collection are: a pair that agrees in a share p of its lanes matches all labels
 of a tree with chance p^DEPTH, so each match stands for the inverse of that many
 pairs.  The matched prefix is then shortened label by label until the pairs so
 estimated are met, in some tree, with the target recall; where nothing matches,
@@ -16,7 +15,7 @@ signatures and verified exactly on their sets of word sequences.
 
 Identical word sequences form a class first; only its representative (lowest
 id) goes through the trees, so a text that a third of all rows repeat is one
-row.  Nodes of many texts (found by a sample of ids, or met on the way) are cut
+row.  Nodes of many texts (found by counting all, or met on the way) are cut
 into blocks by a hash, every pair of blocks is a task of its own, and only
 pairs that their signatures do not rule out leave it: nothing is capped, what
 is written grows with the likely pairs, and no task holds more than two blocks.
@@ -42,9 +41,9 @@ from quern.session import written
 
 WORDS, SIMILARITY, LEAST = 5, 0.8, 50
 LANES, TREES, DEPTH = 128, 32, 8  # tree t reads its string from lane 4t on
-TARGET, PROBED = 0.99, 8  # recall aimed at; one key in so many is matched as a whole string to choose the prefix
+TARGET = 0.99  # recall aimed at
 CROWD, BLOCK = 512, 2048  # texts of a node compared in one go; texts in a block of a larger one
-HOT_SAMPLE, HOT = 64, 64  # one id in so many is counted; nodes of so many counted ids never enter one task
+HOT = 4096  # nodes of so many texts never enter one task
 SLACK = 5.0  # standard deviations below the threshold at which a signature rules a pair out
 BROADCAST_ROWS = 500_000  # ids of at most 16 MB; beyond, a shuffled join
 
@@ -253,10 +252,9 @@ def walk_trees(keys: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def hot_nodes(keys: DataFrame) -> DataFrame:
-    """(key, blocks) of nodes that a sample of ids shows to be large."""
-    few = keys.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0)
-    c = few.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
-    return c.select("key", F.ceil(F.col("n") * HOT_SAMPLE / BLOCK).cast("int").alias("blocks"))
+    """(key, blocks) of large nodes."""
+    c = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
+    return c.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
 
 
 def crowded_pairs(members: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
@@ -291,7 +289,7 @@ def least_agreement(threshold: float) -> float:
 
 
 def agreement(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """(a, b, lanes): in how many lanes the signatures of pairs agree."""
+    """pairs (a, b, ...) with lanes: in how many the signatures agree."""
 
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -300,31 +298,38 @@ def agreement(pairs: DataFrame, sig: DataFrame) -> DataFrame:
 
     s = sig.select("id", "sig")
     j = pairs.join(s.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    return j.select("a", "b", run("sa", "sb").alias("lanes"))
+    return j.select(*pairs.columns, run("sa", "sb").alias("lanes"))
 
 
-def candidates(lone: DataFrame, threshold: float, target: float = TARGET, probed: int = PROBED) -> DataFrame:
-    """(a, b) of texts (tab, id, sig) that meet in the forest and whose
-    signatures do not rule the threshold out."""
-    trees = strings(lone)
-    whole = keyed(trees, DEPTH).where(F.pmod("key", F.lit(probed)) == 0)
-    deep = walk_trees(whole).where("b is not null").select("a", "b")  # crowds of whole strings are no evidence of how far edits go
-    seen = agreement(deep, lone).groupBy("lanes").count().collect()  # at most a row per number of lanes
-    k = shortened({r["lanes"]: r["count"] for r in seen}, threshold, target)
-    keys = keyed(trees, k)
+def below(keys: DataFrame, lone: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), once for every node they are below: all pairs of small
+    nodes, likely pairs of crowded ones."""
     hot = written(hot_nodes(keys), "hot")
     some = not hot.isEmpty()
     walked = written(walk_trees(keys.join(hot, "key", "left_anti") if some else keys), "walked")
-    near = agreement(walked.where("b is not null").select("a", "b").distinct(), lone).where(F.col("lanes") >= least_agreement(threshold)).select("a", "b")
+    small = walked.where("b is not null").select("a", "b")
     crowds = []
     if some:
         crowds.append(keys.join(hot, "key").select("key", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), (F.col("blocks") - 1).alias("last")))
     rest = walked.where("b is null").select("key", "a", "block")
     if not rest.isEmpty():
         crowds.append(rest.join(rest.groupBy("key").agg(F.max("block").alias("last")), "key"))
-    for c in crowds:
-        near = near.unionByName(crowded_pairs(c, lone, threshold))
-    return near.distinct()
+    crowded = [crowded_pairs(c, lone, threshold) for c in crowds]
+    return small, reduce(DataFrame.unionByName, crowded) if crowded else small.limit(0)
+
+
+def candidates(lone: DataFrame, threshold: float, target: float = TARGET) -> DataFrame:
+    """(a, b) of texts (tab, id, sig) that meet in the forest and whose
+    signatures do not rule the threshold out."""
+    trees = strings(lone)
+    small, crowded = below(keyed(trees, DEPTH), lone, threshold)
+    deep = small.unionByName(crowded).groupBy("a", "b").agg(F.count(F.lit(1)).alias("nodes"))
+    seen = agreement(deep, lone).groupBy("lanes").agg(F.sum("nodes").alias("nodes")).collect()  # at most a row per number of lanes
+    k = shortened({r["lanes"]: r["nodes"] for r in seen}, threshold, target)
+    if k < DEPTH:
+        small, crowded = below(keyed(trees, k), lone, threshold)
+    near = agreement(small.distinct(), lone).where(F.col("lanes") >= least_agreement(threshold)).select("a", "b")
+    return near.unionByName(crowded).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float, least: int = 0) -> DataFrame:
